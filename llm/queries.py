@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from llm import bpe, chat, media, topk, urls
+from llm import bpe, chat, media, packing, topk, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_media_columns": media.op1_media_columns,
         "op2_bpe_round_trip": bpe.op2_bpe_round_trip,
         "op5_chat_formatting": chat.op5_chat_formatting,
+        "op7_best_fit_packing": packing.op7_best_fit_packing,
         "op8_url_filter": urls.op8_url_filter,
         "op10_exact_topk": topk.op10_exact_topk,
         **({"pipeline": corpus_pipeline.run} if corpus_pipeline.STAGES else {}),
