@@ -7,14 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from llm import bpe, chat, media, packing, topk, urls
+from llm import bpe, chat, language, media, packing, topk, toxicity, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_media_columns": media.op1_media_columns,
         "op2_bpe_round_trip": bpe.op2_bpe_round_trip,
+        "op4_language_id": language.op4_language_id,
         "op5_chat_formatting": chat.op5_chat_formatting,
+        "op6_toxicity": toxicity.op6_toxicity,
         "op7_best_fit_packing": packing.op7_best_fit_packing,
         "op8_url_filter": urls.op8_url_filter,
         "op10_exact_topk": topk.op10_exact_topk,
