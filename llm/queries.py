@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from llm import bpe, chat, language, media, packing, topk, toxicity, urls
+from llm import bpe, chat, language, media, packing, suffixes, topk, toxicity, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_toxicity": toxicity.op6_toxicity,
         "op7_best_fit_packing": packing.op7_best_fit_packing,
         "op8_url_filter": urls.op8_url_filter,
+        "op9_suffix_dedup": suffixes.op9_suffix_dedup,
         "op10_exact_topk": topk.op10_exact_topk,
         **({"pipeline": corpus_pipeline.run} if corpus_pipeline.STAGES else {}),
     }
