@@ -1,13 +1,64 @@
-"""A corpus pipeline: stages over the documents table."""
+"""A corpus pipeline: each stage works on all that the one before it kept.
+
+Toxic documents go, then documents without a recognised language; one document of each group of near
+duplicates stays (the one with the smallest id); passages of 200 bytes or more that are repeated go from
+the texts; the rest is packed into sequences of 2048 tokens. All stages but the last return the columns
+of ``documents``.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from llm import language, neardup, packing, suffixes, toxicity
+from llm.common import held_out, stored, table
+
+#: A language is recognised if it has at least this share of the corrected hits.
+LEAST_SHARE = 0.2
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = toxicity.learn(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity.score_toxicity(docs, model).filter("predicted = 0").select(docs.columns)
+
+
+def with_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    filters = language.learn(table(spark, sf_dir, "documents").filter(~held_out()))
+    judged = language.identify(docs, filters)
+    return judged.filter((F.col("lang_pred") != language.UND) & (F.col("score") >= LEAST_SHARE)).select(docs.columns)
+
+
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    gone = neardup.near_duplicates(docs).filter("NOT kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    kept = suffixes.remove_repeats(docs, as_text=True).withColumn("text", F.col("kept"))
+    return kept.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    out = packing.pack_documents(docs, str(public_tokenizers.path("byte_bpe_50k.json")), keep_ids=False)
+    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+STAGES = [
+    ("toxicity", without_toxic),
+    ("language_id", with_language),
+    ("minhash_neardup", without_near_duplicates),
+    ("suffix_dedup", without_repeats),
+    ("best_fit_packing", packed),
+]
+#: SQL can express no trained filter, component search or packing plan.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -11,7 +11,8 @@ is at least ``OWN`` of their highest in any language (documents quote other lang
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; ties go to the
 alphabetically first language; with no labelled rows everything is ``und``; text that hits no filter
-gets the first language with score 0; repeated rows get equal values; extra columns are ignored.
+gets the first language with score 0; repeated rows get equal values; other columns pass
+through, but for those named like an output, which the output replaces.
 """
 
 from __future__ import annotations
@@ -118,6 +119,7 @@ def learn(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
 def identify(docs: DataFrame, filters: Filters, text: str = "text") -> DataFrame:
     """Adds lang_pred and score to the rows, whose other columns pass through."""
     tuned(docs.sparkSession)
+    docs = docs.drop("lang_pred", "score")
     columns = docs.columns
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + ", lang_pred string, score double"
     shared = docs.sparkSession.sparkContext.broadcast(filters)  # 2 MB for each 64 languages

@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from llm import bpe, chat, language, media, packing, suffixes, topk, toxicity, urls
+from llm import bpe, chat, language, media, neardup, packing, suffixes, topk, toxicity, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_media_columns": media.op1_media_columns,
         "op2_bpe_round_trip": bpe.op2_bpe_round_trip,
+        "op3_minhash_neardup": neardup.op3_minhash_neardup,
         "op4_language_id": language.op4_language_id,
         "op5_chat_formatting": chat.op5_chat_formatting,
         "op6_toxicity": toxicity.op6_toxicity,
@@ -21,7 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_url_filter": urls.op8_url_filter,
         "op9_suffix_dedup": suffixes.op9_suffix_dedup,
         "op10_exact_topk": topk.op10_exact_topk,
-        **({"pipeline": corpus_pipeline.run} if corpus_pipeline.STAGES else {}),
+        "pipeline": corpus_pipeline.run,
     }
 
 

@@ -17,8 +17,8 @@ positions start at an offset of each document's own, so copies do not sample ali
 bits where a wrong match only costs work, 96 bits where it decides.
 
 Defined results: null text is the empty text; texts shorter than ``length`` are kept whole; matches never cross
-texts; equal rows are texts of their own, so both lose what they share; an empty table gives no rows; other columns,
-whatever their names, pass through; memory follows the chunk (``CHUNK`` bytes, or one longer text).
+texts; equal rows are texts of their own, so both lose what they share; an empty table gives no rows; other columns
+pass through, but for those named like an output, which the output replaces; memory follows the chunk (``CHUNK`` bytes, or one longer text).
 """
 
 from __future__ import annotations
@@ -283,9 +283,10 @@ def answered(asked: DataFrame, wide: bool) -> DataFrame:
     return dealt.mapInArrow(compare, "chunk long, r int, bits binary").groupBy("chunk").agg(F.collect_list(F.struct("r", "bits")).alias("got"))
 
 
-def remove_repeats(docs: DataFrame, length: int = 200, text: str = "text", chunk: int = CHUNK) -> DataFrame:
-    """The other columns of ``docs`` and kept (bytes), n_bytes, n_removed, n_spans, from the shared folder."""
+def remove_repeats(docs: DataFrame, length: int = 200, text: str = "text", chunk: int = CHUNK, as_text: bool = False) -> DataFrame:
+    """The other columns of ``docs`` and kept (bytes; or text, without the characters a cut splits), n_bytes, n_removed, n_spans, from the shared folder."""
     spark = docs.sparkSession
+    docs = docs.drop("kept", "n_bytes", "n_removed", "n_spans")
     cover = max((v for v in COVERS if v <= max(7, length // 2)), default=7)
     if length < cover:
         raise ValueError("length must be at least 7")
@@ -331,10 +332,10 @@ def remove_repeats(docs: DataFrame, length: int = 200, text: str = "text", chunk
                         spans.append(int(begins[a:e].sum()) + int(a > 0 and e > a and bool(part[0]) and not begins[a]))
                     columns = [rest.column(i).combine_chunks() if rest.num_rows else rest.column(i) for i in range(rest.num_columns)]
                     arrays = [x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in columns]
-                    yield pa.RecordBatch.from_arrays([*arrays, pa.array(kept, pa.binary()), pa.array((c.ends - c.starts), pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64())], [*others, "kept", "n_bytes", "n_removed", "n_spans"])
+                    yield pa.RecordBatch.from_arrays([*arrays, pa.array([k.decode(errors="ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary()), pa.array((c.ends - c.starts), pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64())], [*others, "kept", "n_bytes", "n_removed", "n_spans"])
 
         kinds = dict(docs.dtypes)
-        schema = ", ".join(f"`{c}` {kinds[c]}" for c in others) + (", " if others else "") + "kept binary, n_bytes long, n_removed long, n_spans long"
+        schema = ", ".join(f"`{c}` {kinds[c]}" for c in others) + (", " if others else "") + ("kept string" if as_text else "kept binary") + ", n_bytes long, n_removed long, n_spans long"
         tuned(spark, 1)
         out = stored(rows.mapInArrow(finish, schema), "kept")
     finally:

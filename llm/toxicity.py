@@ -13,7 +13,8 @@ id, whole texts.
 
 Defined results: null and empty texts, and texts without letters, get the probability of no distance;
 equal texts get equal scores; without toxic labels every score is 0; rows with a null label are no
-examples; of several labels of one document the largest holds; extra columns are ignored.
+examples; of several labels of one document the largest holds; other columns pass
+through, but for those named like an output, which the output replaces.
 """
 
 from __future__ import annotations
@@ -145,6 +146,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Distance:
 def score_toxicity(docs: DataFrame, model: Distance, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Adds score and predicted to the rows, whose other columns pass through."""
     tuned(docs.sparkSession)
+    docs = docs.drop("score", "predicted")
     columns = docs.columns
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + ", score double, predicted int"
     shared = docs.sparkSession.sparkContext.broadcast(model)  # under 40 KB
