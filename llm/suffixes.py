@@ -26,6 +26,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +44,9 @@ COVERS = {
     57: (0, 1, 3, 13, 32, 36, 43, 52),
     91: (0, 1, 3, 9, 27, 49, 56, 61, 77, 81),
 }
-CHUNK = 4 << 20
+CHUNK = 3 << 20
+#: Round 3 has the most names; it deals them out in so many passes, each over a part of the ranges.
+PASSES = 2
 U64 = np.uint64
 
 
@@ -110,9 +113,9 @@ class Names:
         edges = [(k << 64) // n for k in range(1, n)]
         return np.concatenate([[0], np.searchsorted(self.high, np.array(edges, np.uint64)), [len(self.high)]]).astype(np.int64)
 
-    def slices(self, n: int) -> Iterator[tuple[int, bytes, bytes | None]]:
+    def slices(self, n: int, which: range) -> Iterator[tuple[int, bytes, bytes | None]]:
         at = self.ranges(n)
-        for r in range(n):
+        for r in which:
             a, b = at[r], at[r + 1]
             if b > a:
                 yield r, self.high[a:b].tobytes(), None if self.low is None else self.low[a:b].tobytes()
@@ -299,12 +302,13 @@ def remove_repeats(docs: DataFrame, length: int = 200, text: str = "text", chunk
     try:
         tuned(spark, 1)
         rows, answers = spark.table(name), []
-        for which in (1, 2, 3):
+        passes = [(1, range(ranges)), (2, range(ranges)), *((3, range(k * ranges // PASSES, (k + 1) * ranges // PASSES)) for k in range(PASSES))]
+        for which, part in passes:
 
-            def ask(batches: Iterator[pa.RecordBatch], which=which) -> Iterator[pa.RecordBatch]:
+            def ask(batches: Iterator[pa.RecordBatch], which=which, part=part) -> Iterator[pa.RecordBatch]:
                 for b in batches:
                     for row in b.to_pylist():
-                        found = list(at_round(row, length, cover, ranges, which)[1].slices(ranges))
+                        found = list(at_round(row, length, cover, ranges, which)[1].slices(ranges, part))
                         columns = [[x[i] for x in found] for i in range(3)]
                         yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array([row["chunk"]] * len(found), pa.int64()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.binary())], ["r", "chunk", "high", "low"])
 
@@ -313,7 +317,10 @@ def remove_repeats(docs: DataFrame, length: int = 200, text: str = "text", chunk
             answers.append(stored(answered(asked, which > 1).withColumnRenamed("got", f"got{which}"), f"answers{which}"))
             del asked
             swept(spark)
-            rows = rows.join(answers[-1], "chunk", "left")
+            if which < 3:
+                rows = rows.join(answers[-1], "chunk", "left")
+        last = reduce(DataFrame.unionByName, answers[2:])
+        rows = rows.join(last.groupBy("chunk").agg(F.flatten(F.collect_list("got3")).alias("got3")), "chunk", "left")
 
         def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
