@@ -2,8 +2,10 @@
 
 A text's set of 5-word shingles (64-bit values) is sketched in ``BUCKETS`` registers: of the smallest value
 in each bucket, the count of leading zeros and ``MANTISSA`` bits after them. Equal sets are one text from here
-on. Registers are banded, ``ROWS`` to a band, and texts that share a band are candidates; at a similarity of
-0.85, all 51 bands miss a pair with a probability of about 1e-13. Candidates form clusters, whose texts meet
+on. For banding, empty buckets borrow the register of a bucket in use, by a sequence of their own, so that two
+registers agree with the probability of the similarity whatever the size of the sets. ``ROWS`` registers make a
+band, and texts that share a band are candidates; at a similarity of 0.85, all 64 bands miss a pair with a
+probability of about 1e-9; at 0.3 and less, a pair is a candidate with one of 0.004 and less. Candidates form clusters, whose texts meet
 in tiles of bounded size. In a tile, the Jaccard similarity is first estimated from the registers, corrected
 for registers that agree by accident, and pairs within six standard deviations of the threshold or above are
 verified on the full sets. A pair is skipped only where its texts are linked through others already, so the
@@ -32,8 +34,10 @@ from llm.components import components
 from llm.suffixes import Hasher
 
 WORDS, PERCENT = 5, 85
-BUCKETS, MANTISSA, ROWS = 256, 10, 5
+BUCKETS, MANTISSA, ROWS = 512, 10, 8
 BANDS = BUCKETS // ROWS
+#: Where an empty bucket borrows from: the first bucket in use of its own fixed sequence.
+PROBES = np.random.Generator(np.random.PCG64(5)).integers(0, BUCKETS, (BUCKETS, 48))
 #: Chance that the registers of two different smallest values agree: equal zero counts (1/3) and mantissas.
 ACCIDENT = 2.0**-MANTISSA / 3
 TILE_TEXTS, TILE_SHINGLES = 2048, 4_000_000
@@ -83,12 +87,24 @@ def sketch(values: np.ndarray) -> np.ndarray:
 
 
 def bands(registers: np.ndarray) -> np.ndarray:
-    """A value for each band that has a register in use."""
+    """A value for each band; none for an empty set."""
+    used = registers != 0
+    if not used.any():
+        return np.zeros(0, np.uint64)
+    if not used.all():
+        empty = np.flatnonzero(~used)
+        tried = used[PROBES[empty]]
+        found = tried.any(axis=1)
+        source = PROBES[empty, tried.argmax(axis=1)]
+        at = np.flatnonzero(used)  # beyond the sequence: the next bucket in use
+        source[~found] = at[np.searchsorted(at, empty[~found]) % len(at)]
+        registers = registers.copy()
+        registers[empty] = registers[source]
     rows = registers[: BANDS * ROWS].reshape(BANDS, ROWS).astype(np.uint64)
     out = np.arange(1, BANDS + 1, dtype=np.uint64) * U64(0x9E3779B97F4A7C15)
     for i in range(ROWS):
         out = mixed(out + rows[:, i])
-    return out[rows.any(axis=1)]
+    return out
 
 
 def estimates(one: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

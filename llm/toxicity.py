@@ -9,7 +9,7 @@ its distance. A document's largest distance and its number of windows over ``NEA
 table of probabilities, calibrated on training documents that took no part in the dictionaries.
 
 Learned from about ``SAMPLE`` toxic and 3 x ``SAMPLE`` ordinary labelled documents, chosen by a hash of the
-id, whole texts.
+id, whole texts; of copies among them one counts.
 
 Defined results: null and empty texts, and texts without letters, get the probability of no distance;
 equal texts get equal scores; without toxic labels every score is 0; rows with a null label are no
@@ -32,16 +32,29 @@ from pyspark.sql import functions as F
 from llm.common import hash_sample, held_out, table, tuned
 
 SAMPLE, SPREAD, RATIO, STARTS = 2500, 0.02, 25.0, range(4, 11)
-ORDINARY_BYTES, TOXIC_BYTES = 12_000, 4_000
+ORDINARY_BYTES, TOXIC_BYTES = 30_000, 4_000
 WINDOW, NEAR, TOP_DISTANCE, TOP_COUNT, REPEATS, THRESHOLD, KEPT = 48, 3, 12, 4, 4, 0.3, 500_000
 LETTERS = re.compile(r"[^\W\d_]{1,%d}" % WINDOW)
-PARAMETERS = {"window_log": 16, "hash_log": 15, "chain_log": 15, "search_log": 5, "min_match": 4, "strategy": zs.STRATEGY_GREEDY, "target_length": 64, "write_content_size": False, "write_dict_id": False}
+PARAMETERS = {"window_log": 17, "hash_log": 16, "chain_log": 16, "search_log": 5, "min_match": 4, "strategy": zs.STRATEGY_GREEDY, "target_length": 64, "write_content_size": False, "write_dict_id": False}
 
 
 def windows(text: str | None) -> list[str]:
     return LETTERS.findall((text or "").lower())
 
 
+def unlike(texts: list[str]) -> list[str]:
+    """The texts of which less than half the 3-word sequences stand in texts before: one of each group of copies."""
+    seen: set[int] = set()
+    out = []
+    for t in texts:
+        w = windows(t)
+        runs = {hash(tuple(w[i : i + 3])) for i in range(max(1, len(w) - 2))}
+        if len(runs & seen) * 2 < len(runs):
+            out.append(t)
+        seen |= runs
+    return out
+
+
 class Distance:
     """Compressed lengths with both dictionaries, kept for the windows seen last."""
 
@@ -89,6 +102,7 @@ class Distance:
 def trained(toxic: list[str], ordinary: list[str]) -> Distance:
     if not toxic or not ordinary:
         return Distance(b"ordinary", b"ordinary")
+    toxic, ordinary = unlike(toxic), unlike(ordinary)
     learn_t, check_t = toxic[: -(-len(toxic) * 2 // 3)], toxic[-(-len(toxic) * 2 // 3) :]
     learn_o, check_o = ordinary[: -(-len(ordinary) * 2 // 3)], ordinary[-(-len(ordinary) * 2 // 3) :]
 
