@@ -236,7 +236,7 @@ def verified(docs: DataFrame, clusters: DataFrame, doc_id: str, text: str, perce
     n = shuffle_partitions(docs.sparkSession)
     sizes = clusters.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / TILE_TEXTS), F.ceil(F.sum("n_shingles") / TILE_SHINGLES)).cast("int").alias("blocks"))
     members = clusters.join(sizes, "cluster").select("rep", "cluster", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("own"))
-    rows = docs.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).cast("binary").alias("text")).join(members, "rep")
+    rows = docs.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).cast("binary").alias("text")).join(members.hint("merge"), "rep")  # the same plan at every size
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     tiles = rows.select("cluster", "rep", "text", "own", other).select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "text")
 
