@@ -16,6 +16,8 @@ from llm.common import held_out, stored, table
 
 #: A language is recognised if it has at least this share of the corrected hits.
 LEAST_SHARE = 0.2
+#: Least Jaccard similarity of near duplicates, in percent, on 5-word shingles.
+SIMILAR = 80
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +32,7 @@ def with_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = neardup.near_duplicates(docs).filter("NOT kept").select("doc_id").distinct()
+    gone = neardup.near_duplicates(docs, percent=SIMILAR).filter("NOT kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 

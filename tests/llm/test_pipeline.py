@@ -21,7 +21,7 @@ def test_stages(spark, small, tmp_path):
     ids = list(rows[0])
     names, scores = filters.judge([rows[0][i] for i in ids])
     assert set(rows[1]) == {i for i, n, s in zip(ids, names, scores, strict=True) if n != "und" and s >= corpus_pipeline.LEAST_SHARE}
-    assert set(rows[2]) == {i for i, (_, c) in brute_groups(rows[1].items()).items() if c == i}
+    assert set(rows[2]) == {i for i, (_, c) in brute_groups(rows[1].items(), corpus_pipeline.SIMILAR).items() if c == i}
     ids = list(rows[2])
     want = dict(zip(ids, (r[3].decode(errors="ignore") for r in brute_repeats([rows[2][i] for i in ids], 200)), strict=True))
     assert rows[3] == want

@@ -137,12 +137,12 @@ def near_rows():
     return rows
 
 
-@pytest.mark.parametrize("tile", [2048, 3])
-def test_near_duplicates(spark, monkeypatch, tile):
+@pytest.mark.parametrize(("tile", "percent"), [(2048, 85), (3, 85), (3, 80)])
+def test_near_duplicates(spark, monkeypatch, tile, percent):
     monkeypatch.setattr(neardup, "TILE_TEXTS", tile)
     rows = near_rows()
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == brute_groups(rows)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=percent).collect()}
+    assert got == brute_groups(rows, percent)
 
 
 def test_near_duplicates_of_awkward_rows(spark, docs):
