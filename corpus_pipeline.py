@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from llm import language, neardup, packing, suffixes, toxicity
 from llm.common import held_out, stored, table
 
-#: A language is recognised if it has at least this share of the corrected hits.
+#: A language has at least this share of the corrected hits (with up to five languages the leading one always
+#: has; whether the text is in that language at all is told by language.Filters.recognised).
 LEAST_SHARE = 0.2
 #: Least Jaccard similarity of near duplicates, in percent, on 5-word shingles.
 SIMILAR = 80
@@ -26,9 +27,9 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def with_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    filters = language.learn(table(spark, sf_dir, "documents").filter(~held_out()))
-    judged = language.identify(docs, filters)
-    return judged.filter((F.col("lang_pred") != language.UND) & (F.col("score") >= LEAST_SHARE)).select(docs.columns)
+    filters = language.learn(table(spark, sf_dir, "documents").filter(~held_out()), levels=True)
+    judged = language.identify(docs, filters, recognised=True)
+    return judged.filter(F.col("recognised") & (F.col("lang_pred") != language.UND) & (F.col("score") >= LEAST_SHARE)).select(docs.columns)
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,10 +9,16 @@ The filters are learned from about ``SAMPLE`` documents of each language (chosen
 id, whole texts): each holds its language's ``TOP`` most frequent n-grams, of those whose frequency there
 is at least ``OWN`` of their highest in any language (documents quote other languages).
 
+A score says which language leads, not that the text is in any: a share of a few stray hits is as high.
+``recognised`` tells that by the corrected hits of the leading language per n-gram with a letter, which
+must reach ``LEAST`` of what all but ``ODD`` of its own training documents reach. That level comes from
+filters of every other training document, read on the rest, so that it holds for texts not learned from.
+
 Defined results: null texts and texts without a letter are ``und`` with score 0; ties go to the
 alphabetically first language; with no labelled rows everything is ``und``; text that hits no filter
-gets the first language with score 0; repeated rows get equal values; other columns pass
-through, but for those named like an output, which the output replaces.
+gets the first language with score 0; texts without an n-gram that has a letter, and all texts where nothing
+was learned, are not recognised; repeated rows get equal values; other columns pass
+through, but for those named like an output (``recognised`` only where it is asked for), which the output replaces.
 """
 
 from __future__ import annotations
@@ -28,6 +34,8 @@ from pyspark.sql import functions as F
 from llm.common import hash_sample, held_out, table, tuned
 
 GRAM, SLOTS, HASHES, TOP, OWN, SAMPLE = 4, 1 << 18, 2, 8_000, 0.3, 400
+LEAST, ODD = 0.5, 0.01
+BLANKS = int.from_bytes(b" " * GRAM, "big")
 LETTER = re.compile(r"[^\W\d_]")
 #: ASCII capitals to small letters and everything else that is no letter to one blank byte.
 FOLD = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], np.uint8)
@@ -52,6 +60,7 @@ def slots(codes: np.ndarray, which: int) -> np.ndarray:
 class Filters:
     def __init__(self, languages: list[str], table: np.ndarray, rates: np.ndarray):
         self.languages, self.table, self.rates = languages, table, rates
+        self.levels: np.ndarray | None = None
 
     @classmethod
     def learned(cls, texts: dict[str, list[str]]) -> Filters:
@@ -82,20 +91,48 @@ class Filters:
             out &= self.table[word][slots(codes, h)]
         return out
 
-    def judge(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    def hits(self, texts: list[str | None], letters: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Corrected hits of each text in each language, and its n-grams; with letters, of those that have one."""
         data = [(t or "").encode() for t in texts]
         lengths = np.array([len(d) for d in data], np.int64)
         counts = np.maximum(0, lengths - GRAM + 1)
         codes = grams(np.frombuffer(b"".join(data), np.uint8))
-        begins = np.cumsum(lengths) - lengths
-        hits = np.zeros((len(texts), len(self.languages)))
+        begins = np.minimum(np.cumsum(lengths) - lengths, len(codes))
+        ends = np.minimum(begins + counts, len(codes))
+        taken = codes != BLANKS if letters else np.ones(len(codes), bool)
+
+        def within(marks: np.ndarray) -> np.ndarray:
+            ones = np.concatenate([[0], np.cumsum(marks, dtype=np.int64)])
+            return ones[ends] - ones[begins]
+
+        found = np.zeros((len(texts), len(self.languages)))
+        if letters:
+            counts = within(taken)
         for word in range(len(self.table)):
             masks = self.masks(codes, word)
             for k in range(64 * word, min(len(self.languages), 64 * word + 64)):
-                ones = np.concatenate([[0], np.cumsum((masks >> np.uint64(k % 64)).astype(np.uint8) & 1, dtype=np.int64)])
-                at = np.minimum(begins, len(codes))
-                hits[:, k] = ones[np.minimum(at + counts, len(codes))] - ones[at]
-        right = np.maximum(0, (hits - counts[:, None] * self.rates) / np.maximum(1e-9, 1 - self.rates))
+                found[:, k] = within((masks >> np.uint64(k % 64)).astype(np.uint8) & 1 & taken)
+        return np.maximum(0, (found - counts[:, None] * self.rates) / np.maximum(1e-9, 1 - self.rates)), counts
+
+    def recognised(self, texts: list[str | None]) -> list[bool]:
+        if not self.languages or self.levels is None:
+            return [False] * len(texts)
+        right, counts = self.hits(texts, letters=True)
+        lead = right.argmax(1)
+        return ((counts > 0) & (right[np.arange(len(texts)), lead] >= self.levels[lead] * counts)).tolist()
+
+    def calibrate(self, texts: dict[str, list[str]]) -> Filters:
+        """Sets each language's level from the texts it is learned from."""
+        half = Filters.learned({name: own[::2] for name, own in texts.items()})
+        self.levels = np.zeros(len(self.languages))
+        for k, name in enumerate(self.languages):
+            right, counts = half.hits(texts[name][1::2] or texts[name], letters=True)
+            shares = right[counts > 0, k] / counts[counts > 0]
+            self.levels[k] = LEAST * np.quantile(shares, ODD) if len(shares) else 1.0
+        return self
+
+    def judge(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        right, _ = self.hits(texts)
         names, scores = [], []
         for t, r in zip(texts, right, strict=True):
             if t is None or not self.languages or not LETTER.search(t):
@@ -108,26 +145,30 @@ class Filters:
         return names, scores
 
 
-def learn(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Filters:
+def learn(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, levels: bool = False) -> Filters:
     known = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
     texts: dict[str, list[str]] = {}
     for r in hash_sample(known.select(doc_id, text, lang), doc_id, lang, sample).orderBy(F.xxhash64(text), doc_id).collect():
         texts.setdefault(r[2], []).append(r[1])
-    return Filters.learned(texts)
+    filters = Filters.learned(texts)
+    return filters.calibrate(texts) if levels else filters
 
 
-def identify(docs: DataFrame, filters: Filters, text: str = "text") -> DataFrame:
-    """Adds lang_pred and score to the rows, whose other columns pass through."""
+def identify(docs: DataFrame, filters: Filters, text: str = "text", recognised: bool = False) -> DataFrame:
+    """Adds lang_pred and score, and recognised where asked for, to the rows, whose other columns pass through."""
     tuned(docs.sparkSession)
-    docs = docs.drop("lang_pred", "score")
+    added = ["lang_pred", "score", *(["recognised"] if recognised else [])]
+    docs = docs.drop(*added)
     columns = docs.columns
-    schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + ", lang_pred string, score double"
+    schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + ", lang_pred string, score double" + (", recognised boolean" if recognised else "")
     shared = docs.sparkSession.sparkContext.broadcast(filters)  # 2 MB for each 64 languages
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            names, scores = shared.value.judge(b.column(text).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*columns, "lang_pred", "score"])
+            texts = b.column(text).to_pylist()
+            names, scores = shared.value.judge(texts)
+            known = [pa.array(shared.value.recognised(texts), pa.bool_())] if recognised else []
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64()), *known], [*columns, *added])
 
     return docs.mapInArrow(judged, schema)
 

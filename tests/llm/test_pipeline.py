@@ -1,3 +1,5 @@
+import random
+
 import corpus_pipeline
 from llm import language, toxicity
 from llm.common import held_out, table
@@ -39,3 +41,23 @@ def test_awkward_rows(spark, small, docs):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         whole = stage(spark, whole, small)
     assert whole.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_texts_in_no_learned_language_go(spark, small):
+    """Noise and prose of languages not learned go, though some n-grams hit; clean texts stay."""
+    r = random.Random(3)
+    noise = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(400)) for _ in range(20)]
+    other = [
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem.",
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.",
+        "1234 5678 " * 40 + "xq zvkj wqpf",
+    ]
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    planted = spark.createDataFrame([(-1 - k, t, "en", "planted", len(t)) for k, t in enumerate(noise + other)], docs.schema)
+    whole = docs.unionByName(planted)
+    filters = language.learn(docs.filter(~held_out()))
+    names, scores = filters.judge(noise + other)
+    assert min(scores) > corpus_pipeline.LEAST_SHARE  # the share alone lets them pass
+    got = {x.doc_id for x in corpus_pipeline.with_language(spark, whole, small).collect()}
+    assert got == {x.doc_id for x in docs.collect() if len(x.text or "") >= 4}
+    assert language.Filters.learned({}).recognised(["abc"]) == [False]
