@@ -9,7 +9,8 @@ its distance. A document's largest distance and its number of windows over ``NEA
 table of probabilities, calibrated on training documents that took no part in the dictionaries.
 
 Learned from about ``SAMPLE`` toxic and 3 x ``SAMPLE`` ordinary labelled documents, chosen by a hash of the
-id, whole texts; of copies among them one counts.
+id, whole texts; of copies among them one counts. The calibration weighs the two classes as they stand among
+all training labels, so the same evidence gets the same probability at every size of the table.
 
 Defined results: null and empty texts, and texts without letters, get the probability of no distance;
 equal texts get equal scores; without toxic labels every score is 0; rows with a null label are no
@@ -99,9 +100,11 @@ class Distance:
         return 0.0 if self.chances is None else float(self.chances[self.features(text)])
 
 
-def trained(toxic: list[str], ordinary: list[str]) -> Distance:
+def trained(toxic: list[str], ordinary: list[str], labels: tuple[int, int] | None = None) -> Distance:
+    """From texts of both classes; labels: how many of each class there are, where the texts are a sample."""
     if not toxic or not ordinary:
         return Distance(b"ordinary", b"ordinary")
+    all_t, all_o = labels or (len(toxic), len(ordinary))
     toxic, ordinary = unlike(toxic), unlike(ordinary)
     learn_t, check_t = toxic[: -(-len(toxic) * 2 // 3)], toxic[-(-len(toxic) * 2 // 3) :]
     learn_o, check_o = ordinary[: -(-len(ordinary) * 2 // 3)], ordinary[-(-len(ordinary) * 2 // 3) :]
@@ -131,7 +134,8 @@ def trained(toxic: list[str], ordinary: list[str]) -> Distance:
         base = b" ".join(plain)[-ORDINARY_BYTES:] or b"ordinary"
     out = Distance(base, base + f" {passages} ".encode("utf-8", "surrogatepass")[-TOXIC_BYTES:])
     # calibration: label shares by (distance, count), drawn towards those of weaker evidence
-    weight_t, weight_o = len(toxic), len(ordinary)
+    texts_read, share = len(toxic) + len(ordinary), all_t / (all_t + all_o)
+    weight_t, weight_o = share * texts_read, (1 - share) * texts_read
     seen = np.zeros((2, TOP_DISTANCE + 1, TOP_COUNT + 1))
     for label, texts in enumerate((check_o or learn_o, check_t or learn_t)):
         for t in texts:
@@ -150,11 +154,12 @@ def trained(toxic: list[str], ordinary: list[str]) -> Distance:
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Distance:
     """From the labelled documents that are not held out."""
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    all_t, all_o = known.agg(F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") == 0)).first()
     toxic = hash_sample(known.filter("toxic = 1"), "doc_id", "toxic", sample)
     plain = hash_sample(known.filter("toxic = 0"), "doc_id", "toxic", 3 * sample)
     chosen = F.broadcast(toxic.unionByName(plain))  # about 4 x sample rows of two integers
     rows = docs.select("doc_id", "text").join(chosen, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").collect()
-    return trained([r.text for r in rows if r.toxic == 1], [r.text for r in rows if r.toxic == 0])
+    return trained([r.text for r in rows if r.toxic == 1], [r.text for r in rows if r.toxic == 0], (all_t, all_o))
 
 
 def score_toxicity(docs: DataFrame, model: Distance, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:

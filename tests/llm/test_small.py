@@ -212,6 +212,18 @@ def test_toxicity_of_awkward_rows(spark, docs):
     assert toxicity.trained([], plain).score("slimebag") == 0 and toxicity.score_toxicity(docs.limit(0), model).count() == 0
 
 
+def test_toxicity_is_calibrated_on_all_labels(spark):
+    """A bounded sample holds one toxic text in four; among the labels it is one in ten, half of them without a sign."""
+    r = random.Random(8)
+    words = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(300)]
+    say = lambda extra: " ".join([*(r.choice(words) for _ in range(20)), extra, *(r.choice(words) for _ in range(20))])
+    rows = [(i, say("slimebag" if i % 20 == 0 else "friend"), int(i % 10 == 0)) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    few, whole = (toxicity.learn(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"), n) for n in (75, 2500))
+    for model in (few, whole):
+        assert model.score("slimebag") > 0.8 and 0.03 < model.score("friend") < 0.085  # 0.05 / 0.95
+
+
 # ---- chats
 
 
