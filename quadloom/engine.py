@@ -23,6 +23,10 @@ from quadloom.sources import mvt, store
 from quadloom.types import METRICS, EngineError
 
 
+#: The resource class of each kind of source that has tiles; GeoJSON is part of the style.
+CLASSES = {"vector": "VECTOR_TILE", "raster": "RASTER_TILE", "raster-dem": "DEM_TILE"}
+
+
 class SingleFlight:
     """One computation for all callers of a key that come while it runs."""
 
@@ -45,7 +49,8 @@ class SingleFlight:
 
 
 class Batch:
-    """Acquired tiles of a style: ``resources`` (source_id, z, x, y, data, digest, via) by output tile."""
+    """Acquired tiles of a style: ``resources`` (source_id, kind, class, z, x, y, data, digest) by output tile.
+    Tiles that failed within the budget have null data: nothing is put in their place."""
 
     def __init__(self, engine: Engine, program: style.Prepared, requested: DataFrame, resources: DataFrame):
         self.engine, self.program, self.requested, self.resources = engine, program, requested, resources
@@ -57,11 +62,11 @@ class Batch:
 
     def features(self, wanted: list[str] | None = None) -> DataFrame:
         self._open()
-        return mvt.decode_tiles(self.resources.filter("data IS NOT NULL").dropDuplicates(["source_id", "z", "x", "y"]), wanted)
+        return mvt.decode_tiles(self.resources.filter("kind = 'vector' AND data IS NOT NULL").dropDuplicates(["source_id", "z", "x", "y"]), wanted)
 
     def content_keys(self, size: int = 512) -> DataFrame:
         self._open()
-        rows = self.resources.filter("digest IS NOT NULL").select(F.col("out_z").alias("z"), F.col("out_x").alias("x"), F.col("out_y").alias("y"), F.lit("vector").alias("kind"), F.concat_ws("/", "source_id", "z", "x", "y").alias("identity"), "digest")
+        rows = self.resources.filter("digest IS NOT NULL").select(F.col("out_z").alias("z"), F.col("out_x").alias("x"), F.col("out_y").alias("y"), F.when(F.col("kind") == "vector", "vector").otherwise("raster").alias("kind"), F.concat_ws("/", "source_id", "z", "x", "y").alias("identity"), "digest")
         return planner.content_keys(rows, self.program.digest, size)
 
     def subset(self, asked: DataFrame) -> DataFrame:
@@ -75,9 +80,9 @@ class Batch:
         """Fetches again what failed, and returns the diagnostics of what recovered; the rest stays as it was."""
         self._open()
         lost = self.resources.filter("data IS NULL")
-        wanted = lost.select("stable_id", F.lit("VECTOR_TILE").alias("class"), "url").distinct()
-        got = store.acquire(wanted, self.engine.store, self.engine.transport).filter("bytes IS NOT NULL").select("stable_id", "bytes", F.col("digest").alias("new_digest"))
-        merged = self.resources.join(got, "stable_id", "left").withColumns({"data": F.coalesce("data", "bytes"), "digest": F.coalesce("digest", "new_digest"), "recovered": F.col("bytes").isNotNull()})
+        wanted = lost.select("stable_id", "class", "url").distinct()
+        got = store.acquire(wanted, self.engine.store, self.engine.transport).filter("bytes IS NOT NULL").select("stable_id", "class", "bytes", F.col("digest").alias("new_digest"))
+        merged = self.resources.join(got, ["stable_id", "class"], "left").withColumns({"data": F.coalesce("data", "bytes"), "digest": F.coalesce("digest", "new_digest"), "recovered": F.col("bytes").isNotNull()})
         kept = self.engine.written(merged.drop("bytes", "new_digest"))
         self.resources = kept.drop("recovered")
         rows = kept.filter("recovered")
@@ -128,33 +133,60 @@ class Engine:
         return self.prepare(body, base_url=url, **options)
 
     def prepare_batch(self, program: style.Prepared, requested: DataFrame, mode: str = "NORMAL", budget: int = 0) -> Batch:
-        """Acquires the vector tiles of the requested tiles; failures beyond the budget fail the batch, after
-        what was fetched has been stored."""
+        """Acquires the vector, raster and elevation tiles of the requested tiles; failures beyond the budget, over
+        all of them, fail the batch, after what was fetched has been stored."""
+        self._check(program, requested)
+        return Batch(self, program, requested, self._acquired(self._sampled(program, requested, list(CLASSES)), mode, budget))
+
+    def _check(self, program: style.Prepared, requested: DataFrame) -> None:
         self._open()
         if id(program) not in self._owned:
             raise EngineError("FOREIGN_PREPARED_STYLE", "the style is another engine's")
         if planner.duplicate_tiles(requested).limit(1).count() or requested.filter(~tiles.valid(F.col("z"), F.col("y"))).limit(1).count():
             raise EngineError("INVALID_TILE_ID", "repeated or invalid tiles")
+
+    def _sampled(self, program: style.Prepared, requested: DataFrame, kinds: list[str]) -> DataFrame:
+        """The source tiles of the layers that are active; a hillshade also reads the eight around its own."""
         layers, sources, _ = program.tables(self.spark)
-        vector = sources.filter("kind = 'vector'")
-        active = planner.active_layers(requested, layers.filter("source_id IS NOT NULL").select("source_id", "min_zoom", "max_zoom")).select("z", "x", "y", "source_id").distinct()
-        sampled = planner.samples(active, vector.drop("kind"))
+        used = layers.filter("source_id IS NOT NULL").select("source_id", "min_zoom", "max_zoom")
+        active = planner.active_layers(requested, used).select("z", "x", "y", "source_id").distinct()
+        sampled = planner.samples(active, sources.filter(F.col("kind").isin(kinds)))
+        steps = F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)))
+        own = F.array(F.struct(F.lit(0).alias("dx"), F.lit(0).alias("dy")))
+        side = tiles.pow2(F.col("source_z"))
+        around = sampled.withColumn("step", F.explode(F.when(F.col("kind") == "raster-dem", steps).otherwise(own)))
+        around = around.withColumns({"source_x": F.pmod(F.col("source_x") + F.col("step.dx"), side), "source_y": F.col("source_y") + F.col("step.dy")})
+        return around.filter((F.col("source_y") >= 0) & (F.col("source_y") < side)).drop("step").dropDuplicates(["z", "x", "y", "source_id", "source_z", "source_x", "source_y"])
+
+    def _acquired(self, sampled: DataFrame, mode: str, budget: int) -> DataFrame:
         url = tiles.tile_url(F.col("templates"), F.col("source_z"), F.col("source_x"), F.col("source_y"), F.col("scheme") == "tms")
-        wanted = sampled.withColumn("url", url).withColumn("stable_id", store.stable_id(F.col("url")))
-        rows = wanted.select(F.col("z").alias("out_z"), F.col("x").alias("out_x"), F.col("y").alias("out_y"), "source_id", F.col("source_z").alias("z"), F.col("source_x").alias("x"), F.col("source_y").alias("y"), "child_scale", "child_x", "child_y", "url", "stable_id")
-        asked = rows.select("stable_id", F.lit("VECTOR_TILE").alias("class"), "url").distinct()
+        kind_class = F.create_map(*(F.lit(v) for pair in CLASSES.items() for v in pair))[F.col("kind")]
+        wanted = sampled.withColumns({"url": url, "class": kind_class}).withColumn("stable_id", store.stable_id(F.col("url")))
+        rows = wanted.select(F.col("z").alias("out_z"), F.col("x").alias("out_x"), F.col("y").alias("out_y"), "source_id", "kind", "encoding", F.col("source_z").alias("z"), F.col("source_x").alias("x"), F.col("source_y").alias("y"), "child_scale", "child_x", "child_y", "class", "url", "stable_id")
+        asked = rows.select("stable_id", "class", "url").distinct()
         got = self.written(store.acquire(asked, self.store, self.transport, mode))
         counted = {r.from_cache: r["count"] for r in got.groupBy("from_cache").count().collect()}
         self.metrics["RAW_CACHE_HIT"] += counted.get(True, 0)
         self.metrics["RAW_CACHE_MISS"] += counted.get(False, 0)
-        joined = rows.join(got.select("stable_id", F.col("bytes").alias("data"), "digest", "status"), "stable_id")
-        outcomes = joined.select(F.col("out_z").alias("z"), F.col("out_x").alias("x"), F.col("out_y").alias("y"), F.col("data").isNull().alias("failed"), F.lit("VECTOR_TILE").alias("class"), "status")
+        joined = rows.join(got.select("stable_id", "class", F.col("bytes").alias("data"), "digest", "status"), ["stable_id", "class"])
+        outcomes = joined.select(F.col("out_z").alias("z"), F.col("out_x").alias("x"), F.col("out_y").alias("y"), F.col("data").isNull().alias("failed"), "class", "status")
         planner.check_budget(outcomes, budget)
-        return Batch(self, program, requested, self.written(joined))
+        return self.written(joined)
 
     def label_tiles(self, program: style.Prepared, requested: DataFrame, mode: str = "NORMAL") -> DataFrame:
-        """The bytes of the requested tiles: all of them, or an error."""
-        return self.prepare_batch(program, requested, mode, 0).resources.select("source_id", "z", "x", "y", "data", "digest").distinct()
+        """The bytes of the requested vector tiles: all of them, or an error."""
+        self._check(program, requested)
+        return self._acquired(self._sampled(program, requested, ["vector"]), mode, 0).select("source_id", "z", "x", "y", "data", "digest").distinct()
+
+    def terrain_tiles(self, program: style.Prepared, requested: DataFrame, mode: str = "NORMAL") -> DataFrame:
+        """The style's terrain: the elevation tile of each requested tile (out_z, out_x, out_y, source_id, z, x, y,
+        encoding, data, digest), all of them or an error; no rows without a terrain."""
+        self._check(program, requested)
+        t = program.terrain
+        row = [(t["source_id"], t["kind"], t["templates"], t["scheme"], t["min_zoom"], t["max_zoom"], *t["bounds"], t["tile_size"], t.get("encoding"))] if t else []
+        source = self.spark.createDataFrame(row, program.tables(self.spark)[1].schema)
+        sampled = planner.samples(requested.select("z", "x", "y").crossJoin(source.select("source_id")), source)
+        return self._acquired(sampled, mode, 0).select("out_z", "out_x", "out_y", "source_id", "z", "x", "y", "encoding", "data", "digest")
 
     def close(self) -> None:
         self.closed = True

@@ -37,6 +37,30 @@ def test_batch(spark, tmp_path):
         engine.prepare(STYLE)
 
 
+def test_rasters_and_terrain(spark, tmp_path):
+    """Raster and elevation tiles are fetched, count as failures with the others, and are part of the keys."""
+    sources = STYLE["sources"] | {k: {"type": t, "tiles": ["https://" + k + ".example/{z}/{x}/{y}"], "maxzoom": 4} for k, t in (("r", "raster"), ("d", "raster-dem"))}
+    layers = [*STYLE["layers"], {"id": "p", "type": "raster", "source": "r"}, {"id": "h", "type": "hillshade", "source": "d"}]
+    engine = Engine(spark, str(tmp_path), lambda url: (503, b"", {}) if "r.example/4/2/" in url else (200, DATA if "t.example" in url else url.encode(), {}))
+    program = engine.prepare(STYLE | {"sources": sources, "layers": layers, "terrain": {"source": "d"}})
+    tiles = spark.createDataFrame([(4, 0, 0), (4, 2, 5)], "z int, x int, y int")
+    with pytest.raises(EngineError, match="LIMIT"):
+        engine.prepare_batch(program, tiles)
+    with engine.prepare_batch(program, tiles, budget=1) as batch:
+        got = {(r.out_x, r.kind, r["class"]): r["count"] for r in batch.resources.groupBy("out_x", "kind", "class").count().collect()}
+        assert got == {(x, *k): n for x, around in ((0, 6), (2, 9)) for k, n in ((("vector", "VECTOR_TILE"), 1), (("raster", "RASTER_TILE"), 1), (("raster-dem", "DEM_TILE"), around))}
+        assert {r.x for r in batch.resources.filter("kind = 'raster-dem' AND out_x = 0").collect()} == {15, 0, 1}
+        assert batch.features(["roads"]).count() == 2 and batch.resources.filter("data IS NULL").count() == 1
+        before = {r.x: r.content_key for r in batch.content_keys().collect()}
+        engine.transport = lambda url: (200, b"late", {})
+        assert batch.retry_exact().count() == 1
+        after = {r.x: r.content_key for r in batch.content_keys().collect()}
+        assert before[0] == after[0] and before[2] != after[2]
+    dem = {(r.out_x, r.x, r.y, r.encoding, bytes(r.data)) for r in engine.terrain_tiles(program, tiles).collect()}
+    assert dem == {(0, 0, 0, "mapbox", b"https://d.example/4/0/0"), (2, 2, 5, "mapbox", b"https://d.example/4/2/5")}
+    assert engine.label_tiles(program, tiles).count() == 2 and engine.terrain_tiles(engine.prepare(STYLE), tiles).count() == 0
+
+
 def test_single_flight():
     flights, calls, gate, out = SingleFlight(), [], threading.Event(), []
 
