@@ -1,7 +1,8 @@
 """A corpus pipeline: each stage works on all that the one before it kept.
 
 Toxic documents go, then documents without a recognised language; one document of each group of near
-duplicates stays (the one with the smallest id); passages of 200 bytes or more that are repeated go from
+duplicates stays (the one with the smallest id; rows that repeat an id or have none are documents of their
+own, behind those with an id); passages of 200 bytes or more that are repeated go from
 the texts; the rest is packed into sequences of 2048 tokens. All stages but the last return the columns
 of ``documents``.
 """
@@ -19,6 +20,8 @@ from llm.common import held_out, stored, table
 LEAST_SHARE = 0.2
 #: Least Jaccard similarity of near duplicates, in percent, on 5-word shingles.
 SIMILAR = 80
+#: The column of the ids that told_apart gives.
+NODE = "_node"
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +35,22 @@ def with_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return judged.filter(F.col("recognised") & (F.col("lang_pred") != language.UND) & (F.col("score") >= LEAST_SHARE)).select(docs.columns)
 
 
+def told_apart(docs: DataFrame) -> DataFrame:
+    """The rows, each under an id of its own: doc_id for the first row of each id; numbers above all ids for
+    the other rows of an id and rows without one, so that copies among them are found like any others."""
+    rows = stored(docs.withColumn(NODE, F.monotonically_increasing_id()), "rows")
+    firsts = rows.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(NODE).alias("first"))
+    above = firsts.agg(F.coalesce(F.max("doc_id"), F.lit(-1)).cast("long") + 1).first()[0]
+    named = rows.filter("doc_id IS NOT NULL").join(firsts.hint("merge"), "doc_id")
+    node = F.when(F.col("first") == F.col(NODE), F.col("doc_id").cast("long")).otherwise(F.lit(above) + F.col(NODE))
+    return named.withColumn(NODE, node).drop("first").unionByName(rows.filter("doc_id IS NULL").withColumn(NODE, F.lit(above) + F.col(NODE)))
+
+
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    if docs.groupBy("doc_id").count().filter("doc_id IS NULL OR count > 1").limit(1).count():
+        rows = told_apart(docs)
+        gone = neardup.near_duplicates(rows.select(F.col(NODE).alias("doc_id"), "text"), percent=SIMILAR).filter("NOT kept").select(F.col("doc_id").alias(NODE))
+        return rows.join(gone.hint("merge"), NODE, "left_anti").select(docs.columns)
     gone = neardup.near_duplicates(docs, percent=SIMILAR).filter("NOT kept").select("doc_id").distinct()
     return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns)  # the same plan at every size: these ids grow with the input
 

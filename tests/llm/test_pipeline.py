@@ -61,3 +61,14 @@ def test_texts_in_no_learned_language_go(spark, small):
     got = {x.doc_id for x in corpus_pipeline.with_language(spark, whole, small).collect()}
     assert got == {x.doc_id for x in docs.collect() if len(x.text or "") >= 4}
     assert language.Filters.learned({}).recognised(["abc"]) == [False]
+
+
+def test_one_copy_stays_where_ids_repeat_or_are_null(spark, small):
+    r = random.Random(4)
+    long = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(80))
+    a, b, c, d = long(), long(), long(), long()
+    rows = [(5, a), (5, a), (None, b), (None, b), (7, c), (None, c), (9, d), (9, long()), (None, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = corpus_pipeline.without_near_duplicates(spark, docs, small)
+    whole = sorted(((x.doc_id or 0, x.text or "") for x in corpus_pipeline.without_repeats(spark, kept, small).collect()))
+    assert whole == sorted([(5, a), (0, b), (7, c), (9, d), (9, rows[7][1]), (0, ""), (0, "")])
