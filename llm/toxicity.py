@@ -1,6 +1,7 @@
 """Toxicity by compression distance with two zstandard dictionaries.
 
-The ordinary dictionary is trained on ordinary text. The toxic dictionary holds the same and, nearest to
+The ordinary dictionary is trained on ordinary text: passages of ``PASSAGE`` words, ``PASSAGES`` at most. Where
+there are more, each document gives the same number, evenly over its length, or all it has if it has fewer. The toxic dictionary holds the same and, nearest to
 the input, text of toxic passages: words of toxic documents whose starts follow as many different
 words as ``SPREAD`` of these documents, and are ``RATIO`` times as frequent there as in ordinary documents. Each window (a
 word of at most ``WINDOW`` letters, written ``REPEATS`` times, as a block must shrink by some bytes to be
@@ -34,6 +35,7 @@ from llm.common import hash_sample, held_out, table, tuned
 
 SAMPLE, SPREAD, RATIO, STARTS = 2500, 0.02, 25.0, range(4, 11)
 ORDINARY_BYTES, TOXIC_BYTES = 30_000, 4_000
+PASSAGE, PASSAGES = 40, 40_000
 WINDOW, NEAR, TOP_DISTANCE, TOP_COUNT, REPEATS, THRESHOLD, KEPT = 48, 3, 12, 4, 4, 0.3, 500_000
 LETTERS = re.compile(r"[^\W\d_]{1,%d}" % WINDOW)
 PARAMETERS = {"window_log": 17, "hash_log": 16, "chain_log": 16, "search_log": 5, "min_match": 4, "strategy": zs.STRATEGY_GREEDY, "target_length": 64, "write_content_size": False, "write_dict_id": False}
@@ -56,6 +58,22 @@ def unlike(texts: list[str]) -> list[str]:
     return out
 
 
+def spread(texts: list[str], most: int = PASSAGES) -> list[bytes]:
+    """Passages of the texts, at most ``most``, taken evenly over the texts and within each."""
+    counts = np.array([-(-len(windows(t)) // PASSAGE) for t in texts], np.int64)
+    low, high = 0, int(counts.max(initial=0))
+    while low < high:  # the largest number a text that keeps the sum within the bound
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if np.minimum(counts, middle).sum() <= most else (low, middle - 1)
+    if not low and counts.any():  # more texts than passages
+        return spread([texts[i * len(texts) // most] for i in range(most)], most)
+    out = []
+    for t, n in zip(texts, counts.tolist(), strict=True):
+        w, k = windows(t), min(n, low)
+        out += [" ".join(w[i : i + PASSAGE]).encode("utf-8", "surrogatepass") for i in (j * n // k * PASSAGE for j in range(k))]
+    return out
+
+
 class Distance:
     """Compressed lengths with both dictionaries, kept for the windows seen last."""
 
@@ -127,7 +145,7 @@ def trained(toxic: list[str], ordinary: list[str], labels: tuple[int, int] | Non
     telling = {s for s in telling if len(before[s]) >= SPREAD * len(learn_t)}
     words = Counter(w for t in learn_t for w in windows(t) if any(w[:k] in telling for k in STARTS))
     passages = " ".join(sorted((w for w, n in words.items() if n >= 3), key=lambda w: (words[w], w)))
-    plain = [" ".join(w[i : i + 40]).encode("utf-8", "surrogatepass") for w in map(windows, learn_o) for i in range(0, len(w), 40)][:40_000]
+    plain = spread(learn_o)
     try:
         base = zs.train_dictionary(ORDINARY_BYTES + 4096, plain, k=64, d=6).as_bytes()[-ORDINARY_BYTES:]
     except zs.ZstdError:  # too little text to train on: the text itself

@@ -224,6 +224,16 @@ def test_toxicity_is_calibrated_on_all_labels(spark):
         assert model.score("slimebag") > 0.8 and 0.03 < model.score("friend") < 0.085  # 0.05 / 0.95
 
 
+def test_toxicity_takes_passages_of_all_documents():
+    """A long document at the front leaves room for those behind it."""
+    texts = ["front " * 400_000, *(f"{chr(97 + k) * 3} end{chr(97 + k)} " * 100 for k in range(20))]
+    got = toxicity.spread(texts, 100)
+    assert 80 <= len(got) <= 100 and sum(b"front" in p for p in got) <= 20 and all(any(f"end{chr(97 + k)}".encode() in p for p in got) for k in range(20))
+    assert len(toxicity.spread(texts[1:], 7)) == 7 and toxicity.spread([]) == [] == toxicity.spread(["", "1"])
+    assert toxicity.spread(["a b"] * 3) == [b"a b"] * 3
+    assert len(toxicity.spread(["x " * 400], 3)) == 3
+
+
 # ---- chats
 
 
