@@ -218,7 +218,7 @@ def draw(commands: list[dict], size: int) -> np.ndarray:
 
 def render(drawn: DataFrame, size: int = 256) -> DataFrame:
     """PNGs of tiles from rows (z, x, y, layer_order, draw_order, op, rgba, opacity, width, parts): solid
-    backgrounds, fills and lines. A tile's rows meet in one group; the feature limit of a tile bounds it."""
+    backgrounds, fills and lines; an error for any other op. A tile's rows meet in one group; the feature limit of a tile bounds it."""
 
     def one(key, g: pd.DataFrame) -> pd.DataFrame:
         commands = []
@@ -230,6 +230,8 @@ def render(drawn: DataFrame, size: int = 256) -> DataFrame:
                 commands.append({"op": "fill", "rings": shapes, "rgba": tuple(r.rgba), "opacity": r.opacity})
             elif r.op == "line":
                 commands += [{"op": "line", "points": s, "rgba": tuple(r.rgba), "opacity": r.opacity, "width": r.width} for s in shapes if len(s) > 1]
+            else:
+                raise ValueError(f"the compositor draws no {r.op!r} rows")
         return pd.DataFrame({"z": [key[0]], "x": [key[1]], "y": [key[2]], "png": [encode_png(draw(commands, size))]})
 
     return drawn.groupBy("z", "x", "y").applyInPandas(one, "z int, x long, y long, png binary")
