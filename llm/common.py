@@ -5,7 +5,10 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,19 +17,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tuned(spark: SparkSession, rows: int = 1000) -> SparkSession:
-    """Bounds what one Arrow batch holds, so that a Python worker's memory follows the batch
-    and not the partition: at most ``rows`` rows and about 16 MB."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
-    return spark
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int = 1000, size: int = 16 << 20):
+    """For what runs inside: Arrow batches of at most ``rows`` rows and about ``size`` bytes, so that a Python
+    worker's memory follows the batch and not the partition. The session's own settings come back at the end."""
+    values = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": str(size)}
+    before = {k: spark.conf.get(k) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def parts_of(batches: Iterable[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ``rows`` rows, whatever the session's batch size is."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` where it is set;
-    a temporary folder otherwise (tests in one process)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir`` where it is set; a temporary folder
+    in local mode, where all is one machine (tests); an error on a cluster without one."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = tempfile.mkdtemp(prefix="ckpt-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at
@@ -69,9 +88,10 @@ def hash_sample(df: DataFrame, key: str, strata: str, most: int) -> DataFrame:
     """About ``most`` rows of each value of ``strata`` (all where there are fewer), chosen by a
     hash of ``key``. One small aggregate sizes the fractions; the rows are filtered where they
     are read, so no text is shuffled."""
-    counts = {r[0]: r[1] for r in df.groupBy(strata).count().collect()}
-    keep = F.lit(False)
+    counts = {r[0]: r[1] for r in df.filter(F.col(strata).isNotNull()).groupBy(strata).count().collect()}
+    if not counts:
+        return df.filter(F.lit(False))
+    values = sorted(counts)
+    below = F.map_from_arrays(F.lit(values), F.lit([int(1_000_000 * min(1.0, most / counts[v])) + 1 for v in values]))
     slot = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("sample")), F.lit(1_000_000))
-    for value, n in sorted(counts.items()):
-        keep = keep | ((F.col(strata) == F.lit(value)) & (slot < int(1_000_000 * min(1.0, most / n)) + 1))
-    return df.filter(keep)
+    return df.filter(slot < F.try_element_at(below, F.col(strata)))

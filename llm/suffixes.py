@@ -1,4 +1,8 @@
-"""Removal of repeated passages by a distributed difference-cover suffix sort, cut at ``length`` bytes.
+"""Removal of repeated passages by a difference cover of the suffixes, cut at ``length`` bytes.
+
+This departs from the textbook algorithm: names are values of bytes, not ranks, since only the equality of prefixes of
+``length`` bytes matters here and no order among them; so names that occur once are dropped instead of recursed on, blocks are widened
+once, and what is left is merged by value. Matches rest on names, not on bytes side by side.
 
 Two equal passages of ``length`` bytes share, whatever their places, an offset at which both have a sampled
 position of a difference cover modulo v. So:
@@ -34,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import dropped, shuffle_partitions, stored, swept, table, tuned
+from llm.common import arrow_batches, dropped, parts_of, shuffle_partitions, stored, swept, table
 
 #: Perfect difference sets: every residue modulo the key is a difference of two members.
 COVERS = {
@@ -45,6 +49,8 @@ COVERS = {
     91: (0, 1, 3, 9, 27, 49, 56, 61, 77, 81),
 }
 CHUNK = 3 << 20
+#: Names are dealt out in so many ranges that one answers for the names of about this much text.
+RANGE = 8 << 20
 #: Round 3 has the most names; it deals them out in so many passes, each over a part of the ranges.
 PASSES = 2
 U64 = np.uint64
@@ -82,7 +88,7 @@ FIRST, SECOND = Hasher(1), Hasher(2)
 
 def sorted_groups(high: np.ndarray, low: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """An order in which equal names are adjacent, and where each group begins in it."""
-    order = np.argsort(high, kind="stable")
+    order = np.argsort(high)
     new = np.ones(len(high), bool)
     h = high[order]
     new[1:] = h[1:] != h[:-1]
@@ -102,32 +108,35 @@ class Names:
 
     def __init__(self, high: np.ndarray, low: np.ndarray | None = None):
         order, new = sorted_groups(high, low)
-        self.first = order[new]
+        # the smallest place of each group, whatever order equal names come in on a machine
+        self.first = np.minimum.reduceat(order, np.flatnonzero(new)) if len(order) else order
         self.high, self.low = high[self.first], None if low is None else low[self.first]
         self.of = np.empty(len(high), np.int64)
         self.of[order] = np.cumsum(new) - 1
         self.many = np.bincount(self.of, minlength=len(self.first)) > 1
 
-    def ranges(self, n: int) -> np.ndarray:
-        """Where the names of each of n ranges begin, and the end."""
-        edges = [(k << 64) // n for k in range(1, n)]
-        return np.concatenate([[0], np.searchsorted(self.high, np.array(edges, np.uint64)), [len(self.high)]]).astype(np.int64)
-
-    def slices(self, n: int, which: range) -> Iterator[tuple[int, bytes, bytes | None]]:
-        at = self.ranges(n)
-        for r in which:
-            a, b = at[r], at[r + 1]
-            if b > a:
+    def ranges(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ranges (of 2**bits) that have names, and where each begins, and the end."""
+        r = (self.high >> U64(64 - bits)).astype(np.int64)
+        begins = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]])) if len(r) else np.zeros(0, np.int64)
+        return r[begins], np.append(begins, len(r))
+
+    def slices(self, bits: int, passes: int, which: int) -> Iterator[tuple[int, bytes, bytes | None]]:
+        """The names of the ranges of a pass: those whose number leaves ``which`` modulo ``passes``."""
+        found, at = self.ranges(bits)
+        for r, a, b in zip(found.tolist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+            if r % passes == which:
                 yield r, self.high[a:b].tobytes(), None if self.low is None else self.low[a:b].tobytes()
 
-    def flags(self, got: list | None, n: int) -> tuple[np.ndarray, np.ndarray]:
+    def flags(self, got: list | None, bits: int) -> tuple[np.ndarray, np.ndarray]:
         """(found in another chunk, leads its group) for each name."""
         out = np.zeros((2, len(self.high)), bool)
-        at = self.ranges(n)
+        found, at = self.ranges(bits)
         for x in got or []:
-            a, b = at[x["r"]], at[x["r"] + 1]
-            bits = np.unpackbits(np.frombuffer(x["bits"], np.uint8))
-            out[:, a:b] = bits[: 2 * (b - a)].reshape(2, -1)
+            k = int(np.searchsorted(found, x["r"]))
+            a, b = at[k], at[k + 1]
+            answer = np.unpackbits(np.frombuffer(x["bits"], np.uint8))
+            out[:, a:b] = answer[: 2 * (b - a)].reshape(2, -1)
         return out[0], out[1]
 
 
@@ -162,8 +171,8 @@ class Chunk:
         np.add.at(edge, samples + 1, -1)
         return np.cumsum(edge[:-1]) > 0
 
-    def round2(self, got1, n: int) -> Names:
-        found, _ = self.names1.flags(got1, n)
+    def round2(self, got1, bits: int) -> Names:
+        found, _ = self.names1.flags(got1, bits)
         self.repeated = self.samples[(found | self.names1.many)[self.names1.of]]
         doc = np.searchsorted(self.ends, self.repeated, side="right")
         fits = (self.repeated - (self.v - 1) >= self.starts[doc]) & (self.repeated + self.length <= self.ends[doc])
@@ -171,8 +180,8 @@ class Chunk:
         self.names2 = self.wide(self.centres - (self.v - 1), self.length + self.v - 1)
         return self.names2
 
-    def round3(self, got2, n: int) -> Names:
-        found, leads = self.names2.flags(got2, n)
+    def round3(self, got2, bits: int) -> Names:
+        found, leads = self.names2.flags(got2, bits)
         self.proven = self.reach(self.centres[(found | self.names2.many)[self.names2.of]])
         leaders = self.reach(self.centres[self.names2.first[leads | (self.names2.many & ~found)]])
         open_ = self.reach(self.repeated)
@@ -184,9 +193,9 @@ class Chunk:
         self.names3 = self.wide(self.asked, self.length)
         return self.names3
 
-    def removed(self, got3, n: int) -> np.ndarray:
+    def removed(self, got3, bits: int) -> np.ndarray:
         """Which bytes a repeated string covers."""
-        found, _ = self.names3.flags(got3, n)
+        found, _ = self.names3.flags(got3, bits)
         repeated = self.proven
         repeated[self.asked[(found | self.names3.many)[self.names3.of]]] = True
         edge = np.zeros(self.n + 1, np.int32)
@@ -200,13 +209,13 @@ def chunk_of(row: dict, length: int, cover: int) -> Chunk:
     return Chunk(row["blob"], row["lengths"], row["offsets"], length, cover)
 
 
-def at_round(row: dict, length: int, cover: int, n: int, which: int) -> tuple[Chunk, Names]:
+def at_round(row: dict, length: int, cover: int, bits: int, which: int) -> tuple[Chunk, Names]:
     c = chunk_of(row, length, cover)
     names = c.names1
     if which > 1:
-        names = c.round2(row["got1"], n)
+        names = c.round2(row["got1"], bits)
     if which > 2:
-        names = c.round3(row["got2"], n)
+        names = c.round3(row["got2"], bits)
     return c, names
 
 
@@ -252,8 +261,6 @@ def packed(docs: DataFrame, text: str, cover: int, most: int) -> DataFrame:
 
 def answered(asked: DataFrame, wide: bool) -> DataFrame:
     """Per chunk, the flags of its names, range by range."""
-    n = shuffle_partitions(asked.sparkSession)
-
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
 
@@ -282,7 +289,7 @@ def answered(asked: DataFrame, wide: bool) -> DataFrame:
         if held:
             yield answer()
 
-    dealt = asked.repartition(n, "r").sortWithinPartitions("r")
+    dealt = asked.repartition(shuffle_partitions(asked.sparkSession), "r").sortWithinPartitions("r")
     return dealt.mapInArrow(compare, "chunk long, r int, bits binary").groupBy("chunk").agg(F.collect_list(F.struct("r", "bits")).alias("got"))
 
 
@@ -294,39 +301,39 @@ def remove_repeats(docs: DataFrame, length: int = 200, text: str = "text", chunk
     if length < cover:
         raise ValueError("length must be at least 7")
     n = shuffle_partitions(spark)
-    ranges = 4 * n
     name = f"llm_chunks_{uuid.uuid4().hex}"
-    tuned(spark)
     others = [c for c in docs.columns if c != text]
-    packed(docs, text, cover, chunk).write.option("compression", "zstd").bucketBy(n, "chunk").format("parquet").saveAsTable(name)
+    answers: list[DataFrame] = []
     try:
-        tuned(spark, 1)
-        rows, answers = spark.table(name), []
-        passes = [(1, range(ranges)), (2, range(ranges)), *((3, range(k * ranges // PASSES, (k + 1) * ranges // PASSES)) for k in range(PASSES))]
-        for which, part in passes:
-
-            def ask(batches: Iterator[pa.RecordBatch], which=which, part=part) -> Iterator[pa.RecordBatch]:
-                for b in batches:
-                    for row in b.to_pylist():
-                        found = list(at_round(row, length, cover, ranges, which)[1].slices(ranges, part))
+        with arrow_batches(spark):
+            packed(docs, text, cover, chunk).write.option("compression", "zstd").bucketBy(n, "chunk").format("parquet").saveAsTable(name)
+        rows = spark.table(name)
+        size = rows.agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
+        bits = max(4 * n, size // RANGE, 2).bit_length()
+        with arrow_batches(spark, 1000, 4 << 20):  # a chunk or two, or many names of a range
+            for which, passes, part in [(1, 1, 0), (2, 1, 0), *((3, PASSES, k) for k in range(PASSES))]:
+
+                def ask(batches: Iterator[pa.RecordBatch], which=which, passes=passes, part=part) -> Iterator[pa.RecordBatch]:
+                    for b in parts_of(batches, 1):
+                        row = b.to_pylist()[0]
+                        found = list(at_round(row, length, cover, bits, which)[1].slices(bits, passes, part))
                         columns = [[x[i] for x in found] for i in range(3)]
                         yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array([row["chunk"]] * len(found), pa.int64()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.binary())], ["r", "chunk", "high", "low"])
 
-            asked = rows.drop("rest").mapInArrow(ask, "r int, chunk long, high binary, low binary")
-            tuned(spark, 1)
-            answers.append(stored(answered(asked, which > 1).withColumnRenamed("got", f"got{which}"), f"answers{which}"))
-            del asked
-            swept(spark)
-            if which < 3:
-                rows = rows.join(answers[-1], "chunk", "left")
-        last = reduce(DataFrame.unionByName, answers[2:])
-        rows = rows.join(last.groupBy("chunk").agg(F.flatten(F.collect_list("got3")).alias("got3")), "chunk", "left")
-
-        def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for row in b.to_pylist():
-                    c, _ = at_round(row, length, cover, ranges, 3)
-                    gone = c.removed(row["got3"], ranges)
+                asked = rows.drop("rest").mapInArrow(ask, "r int, chunk long, high binary, low binary")
+                answers.append(stored(answered(asked, which > 1).withColumnRenamed("got", f"got{which}"), f"answers{which}"))
+                del asked
+                swept(spark)
+                if which < 3:
+                    rows = rows.join(answers[-1], "chunk", "left")
+            last = reduce(DataFrame.unionByName, answers[2:])
+            rows = rows.join(last.groupBy("chunk").agg(F.flatten(F.collect_list("got3")).alias("got3")), "chunk", "left")
+
+            def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for b in parts_of(batches, 1):
+                    row = b.to_pylist()[0]
+                    c, _ = at_round(row, length, cover, bits, 3)
+                    gone = c.removed(row["got3"], bits)
                     rest = pa.ipc.open_stream(row["rest"]).read_all().combine_chunks()
                     begins = gone.copy()
                     begins[1:] &= ~gone[:-1]
@@ -341,16 +348,13 @@ def remove_repeats(docs: DataFrame, length: int = 200, text: str = "text", chunk
                     arrays = [x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in columns]
                     yield pa.RecordBatch.from_arrays([*arrays, pa.array([k.decode(errors="ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary()), pa.array((c.ends - c.starts), pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64())], [*others, "kept", "n_bytes", "n_removed", "n_spans"])
 
-        kinds = dict(docs.dtypes)
-        schema = ", ".join(f"`{c}` {kinds[c]}" for c in others) + (", " if others else "") + ("kept string" if as_text else "kept binary") + ", n_bytes long, n_removed long, n_spans long"
-        tuned(spark, 1)
-        out = stored(rows.mapInArrow(finish, schema), "kept")
+            kinds = dict(docs.dtypes)
+            schema = ", ".join(f"`{c}` {kinds[c]}" for c in others) + (", " if others else "") + ("kept string" if as_text else "kept binary") + ", n_bytes long, n_removed long, n_spans long"
+            return stored(rows.mapInArrow(finish, schema), "kept")
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
-    for a in answers:
-        dropped(a)
-    tuned(spark)
-    return out
+        for a in answers:
+            dropped(a)
 
 
 def op9_suffix_dedup(spark, sf_dir: str) -> DataFrame:
