@@ -1,6 +1,6 @@
 """BPE encoding and decoding with the vocabulary files of public tokenizers.
 
-Long unsplit text is encoded as a tree: its halves are encoded apart, and at each join a window
+Long unsplit text is encoded as a tree: its halves are encoded in parallel, and at each join a window
 around it is encoded again and grown until both sides agree with it exactly.
 
 * A *text* longer than ``LEAF`` characters is a tree of pieces split into words. The window runs from a
@@ -23,8 +23,9 @@ from __future__ import annotations
 
 import hashlib
 import re
-import unicodedata
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,17 +33,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import table, tuned
+from llm.common import parts_of, table
 
-LEAF, LONG_WORD, KEPT_WORDS = 8192, 256, 600_000
+LEAF, LONG_WORD, KEPT_WORDS, THREADS = 8192, 256, 600_000, 4
 #: The splitter of the word vocabulary, as its file states it, and the same over ASCII letters.
 #: White space is Unicode's (Python's \s also takes in \x1c to \x1f).
 BLANK = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 BLANK_LATIN, LETTER_LATIN, NUMBER_LATIN = r"\t-\r \x85\xa0", r"a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", r"0-9\xb2\xb3\xb9\xbc-\xbe"
-WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{BLANK}\p{{L}}\p{{N}}]+")
 LATIN_WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER_LATIN}]+|[{NUMBER_LATIN}]|[^{BLANK_LATIN}{LETTER_LATIN}{NUMBER_LATIN}]+")
 #: The same for the byte-level vocabulary, whose words may start with a space and which keeps white space.
-BYTE_WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{BLANK}\p{{L}}\p{{N}}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+")
 LATIN_BYTE_WORDS = re.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER_LATIN}]+| ?[{NUMBER_LATIN}]+| ?[^{BLANK_LATIN}{LETTER_LATIN}{NUMBER_LATIN}]+|[{BLANK_LATIN}]+(?![^{BLANK_LATIN}])|[{BLANK_LATIN}]+"
 )
@@ -58,8 +57,36 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
+@cache
+def classes() -> tuple[str, str]:
+    """Letters and numbers as sets of the regex module, mended by what the library takes for such: the two know
+    different versions of Unicode."""
+    from tokenizers import Regex
+    from tokenizers.pre_tokenizers import Split
+
+    every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
+    out = []
+    for name in (r"\p{L}", r"\p{N}"):
+        theirs = {c for x, _ in Split(Regex(name), "removed", invert=True).pre_tokenize_str(every) for c in x}
+        ours = set(regex.findall(name, every))
+        spelled = lambda some: "".join(f"\\U{ord(c):08x}" for c in sorted(some))
+        kept = f"[{name}--[{spelled(ours - theirs)}]]" if ours - theirs else name
+        out.append(f"[{kept}||[{spelled(theirs - ours)}]]" if theirs - ours else f"[{kept}]")
+    return out[0], out[1]
+
+
+@cache
+def any_words(of_bytes: bool):
+    """The splitters over all letters."""
+    letter, number = classes()
+    other = f"[[^{BLANK}]--{letter}--{number}]"
+    if of_bytes:
+        return regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?{letter}+| ?{number}+| ?{other}+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+", regex.V1)
+    return regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|{letter}+|{number}|{other}+", regex.V1)
+
+
 def splitter(text: str):
-    return WORDS if NOT_LATIN.search(text) else LATIN_WORDS
+    return any_words(False) if NOT_LATIN.search(text) else LATIN_WORDS
 
 
 def tree_words(text: str, leaf: int = LEAF) -> list[str]:
@@ -117,8 +144,7 @@ class WordBPE:
 
     def normal(self, text: str) -> str:
         if NOT_LATIN.search(text):
-            text = unicodedata.normalize("NFC", text)
-            return "".join(c.lower() for c in text) if "\u03a3" in text else text.lower()
+            return self.whole.normalizer.normalize_str(text)  # the file's own, whose Unicode is newer than Python's
         return text.lower()
 
     def encode(self, text: str) -> list[int]:
@@ -136,13 +162,24 @@ class WordBPE:
         return self.ranked.encode_ordinary(words + " ")
 
     def tree_tokens(self, word: str, leaf: int = LONG_WORD) -> list[int]:
-        """Tokens of one unsplit word, by halves (cut between characters)."""
-        if len(word) <= max(2, leaf // 4):
-            return self._flat(word)
-        mid = len(word) // 2
-        left, right = self.tree_tokens(word[:mid], leaf), self.tree_tokens(word[mid:], leaf)
+        """Tokens of one unsplit word: its leaves, halves of halves cut between characters, are encoded in parallel (the
+        ranks are native code that threads share), then level by level all neighbours are joined in parallel."""
+        parts = [word]
+        while max(map(len, parts)) > max(2, leaf // 4):
+            parts = [x for p in parts for x in ((p[: len(p) // 2], p[len(p) // 2 :]) if len(p) > 1 else (p,))]
         data = word.encode()
-        cut = len(word[:mid].encode())
+        ends = np.cumsum([len(p.encode()) for p in parts]).tolist()
+        with ThreadPoolExecutor(THREADS) as pool:
+            level = [(tokens, a, b) for tokens, a, b in zip(pool.map(self._flat, parts), [0, *ends], ends, strict=False)]
+            while len(level) > 1:
+                odd = [level.pop()] if len(level) % 2 else []
+                level = [*pool.map(lambda pair: self._join(data, *pair), zip(level[::2], level[1::2], strict=True)), *odd]
+        return level[0][0]
+
+    def _join(self, whole: bytes, one: tuple, two: tuple) -> tuple[list[int], int, int]:
+        """The tokens of two neighbouring stretches (tokens, begin, end) as those of one."""
+        (left, begin, middle), (right, _, finish) = one, two
+        data, cut = whole[begin:finish], middle - begin
         lefts, rights, reach = self._starts(left, 0), self._starts(right, cut), 4
         while True:
             a, b = max(0, len(left) - reach), min(len(right), reach)
@@ -157,7 +194,7 @@ class WordBPE:
             window = self._flat(data[start:end].decode())
             joined = self._joined(left, lefts, right, rights, window, self._starts(window, start), start == 0, end == len(data))
             if joined is not None:
-                return joined
+                return joined, begin, finish
             reach *= 2
 
     def _starts(self, ids: list[int], at: int) -> list[int]:
@@ -199,7 +236,7 @@ class ByteBPE:
     def encode(self, text: str) -> bytes:
         if any(s in text for s in self.specials):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        words = (BYTE_WORDS if NOT_LATIN.search(text) else LATIN_BYTE_WORDS).findall(text)
+        words = (any_words(True) if NOT_LATIN.search(text) else LATIN_BYTE_WORDS).findall(text)
         known = self.words
         try:
             return b"".join(map(known.__getitem__, words))
@@ -224,12 +261,10 @@ def loaded(path: str, kind: type = WordBPE):
 
 def encode_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", keep: bool = True) -> DataFrame:
     """doc_id, ids (null unless kept), n_tokens, ids_sha256, decoded (null unless kept), decoded_sha256."""
-    tuned(docs.sparkSession)
-
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
         digits = [str(i) for i in range(len(bpe.tokens))]
-        for b in batches:
+        for b in parts_of(batches):
             columns: list[list] = [[], [], [], [], []]
             for t in b.column("text").to_pylist():
                 ids = bpe.encode(t)
