@@ -13,23 +13,26 @@ ties have one order; an empty table gives an empty table; other columns are igno
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: ``open`` and ``close`` surround a turn; {role} is the escaped, capitalised role.
+#: ``open`` and ``close`` surround a turn; {role} is the escaped role, written as it is otherwise.
 TEMPLATE = {
     "open": "### {role}: ",
     "close": "</turn>\n",
     "loss_roles": ["assistant"],
 }
 
-#: state>role -> next state; anything else is "invalid", which no role leaves.
+#: The automaton: its state is the role of the turn before ("start" first); the roles that may follow each state.
+#: Any other role leads to "invalid", which no role leaves.
 TRANSITIONS = {
-    "start>system": "system",
-    "start>user": "user",
-    "system>user": "user",
-    "user>assistant": "assistant",
-    "assistant>user": "user",
+    "start": ["system", "user"],
+    "system": ["user"],
+    "user": ["assistant"],
+    "assistant": ["user"],
 }
 
 
@@ -54,20 +57,19 @@ def unescaped_role(c: Column) -> Column:
 
 
 def format_chats(rows: DataFrame, template: dict = TEMPLATE, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """One row per conversation: conv_id, valid, states, segments (text, loss), formatted and
-    loss_spans (start from 0, length; in code points of ``formatted``)."""
+    """One row per conversation: conv_id, valid, states, segments (text, loss), formatted and mask (length, loss: the
+    runs of code points of ``formatted``, one for each segment). All steps are linear in the turns."""
     head, tail = template["open"].split("{role}")
     turns = rows.select(
         F.col(conv).alias("conv_id"),
         F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text")).alias("t"),
     )
     chats = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
-    steps = F.create_map(*[F.lit(x) for kv in TRANSITIONS.items() for x in kv])
-    states = F.aggregate(
-        "turns",
-        F.array(F.lit("start")),
-        lambda seen, t: F.array_append(seen, F.coalesce(F.try_element_at(steps, F.concat(F.element_at(seen, -1), F.lit(">"), t.role)), F.lit("invalid"))),
-    )
+    before = F.concat(F.array(F.lit("start")), F.transform("turns", lambda t: t.role))
+    allowed = [(F.lit(state), role_) for state, roles in TRANSITIONS.items() for role_ in roles]
+    fits = F.zip_with(F.slice("before", 1, F.size("turns")), "turns", lambda state, t: F.coalesce(reduce(or_, ((state == s) & (t.role == r) for s, r in allowed)), F.lit(False)))
+    made = chats.withColumn("before", before).withColumn("bad", F.array_position(fits, F.lit(False)))
+    states = F.transform("before", lambda s, i: F.when((F.col("bad") > 0) & (i >= F.col("bad")), "invalid").otherwise(s))
     segment = lambda s, loss: F.struct(s.alias("text"), loss.alias("loss"))
     segments = F.flatten(
         F.transform(
@@ -79,38 +81,31 @@ def format_chats(rows: DataFrame, template: dict = TEMPLATE, conv: str = "conv_i
             ),
         )
     )
-    made = chats.select("conv_id", states.alias("states"), segments.alias("segments"))
-    walked = F.aggregate(
-        "segments",
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans")),
-        lambda acc, s: F.struct(
-            (acc.at + F.length(s.text)).alias("at"),
-            F.when(s.loss, F.array_append(acc.spans, F.struct(acc.at.alias("start"), F.length(s.text).alias("length")))).otherwise(acc.spans).alias("spans"),
-        ),
-    )
+    made = made.select("conv_id", (F.col("bad") == 0).alias("valid"), states.alias("states"), segments.alias("segments"))
     return made.select(
-        "conv_id",
-        (~F.array_contains("states", "invalid")).alias("valid"),
-        "states",
-        "segments",
+        "*",
         F.array_join(F.transform("segments", lambda s: s.text), "").alias("formatted"),
-        walked.spans.alias("loss_spans"),
+        F.transform("segments", lambda s: F.struct(F.length(s.text).alias("length"), s.loss.alias("loss"))).alias("mask"),
     )
 
 
 def parse_chats(formatted: DataFrame, template: dict = TEMPLATE) -> DataFrame:
-    """Reads ``formatted`` and ``loss_spans`` back: adds turns (role, text) and loss_texts."""
+    """Reads ``formatted`` and ``mask`` back: adds turns (role, text) and loss_texts. Turns end where the close mark
+    stands, which no text holds; each turn's part is then read alone, its text under the mask by the lengths of its runs."""
     head, tail = template["open"].split("{role}")
-    parts = F.filter(F.split(F.col("formatted"), F.lit("\\Q" + template["close"] + "\\E"), -1), lambda p, i: i < F.size(F.split(F.col("formatted"), F.lit("\\Q" + template["close"] + "\\E"), -1)) - 1)
+    found = formatted.withColumn("_parts", F.split(F.col("formatted"), F.lit("\\Q" + template["close"] + "\\E"), -1))
+    found = found.withColumn("_parts", F.slice("_parts", 1, F.size("_parts") - 1))
     turns = F.transform(
-        parts,
+        "_parts",
         lambda p: F.struct(
             unescaped_role(F.substring(p, F.lit(len(head) + 1), F.instr(p, tail) - 1 - len(head))).alias("role"),
             unescaped(F.substring(p, F.instr(p, tail) + len(tail), F.length(p))).alias("text"),
         ),
     )
-    losses = F.transform("loss_spans", lambda s: unescaped(F.substring(F.col("formatted"), s.start + 1, s.length)))
-    return formatted.withColumns({"turns": turns, "loss_texts": losses})
+    run = lambda i, k: F.get("mask", 3 * i + k)
+    masked = F.transform("_parts", lambda p, i: F.when(run(i, 1).loss, F.substring(p, run(i, 0).length + 1, run(i, 1).length)))
+    losses = F.transform(F.filter(masked, lambda x: x.isNotNull()), unescaped)
+    return found.withColumns({"turns": turns, "loss_texts": losses}).drop("_parts")
 
 
 def op5_chat_formatting(spark, sf_dir: str) -> DataFrame:
