@@ -5,16 +5,16 @@ filter has s set. And-ing the slots of an n-gram gives the mask of all languages
 For a text, the languages' hit counts are corrected for their filters' false-positive rates
 (hits - n * rate) / (1 - rate); the largest decides and its share of all is the score.
 
-The filters are learned from about ``SAMPLE`` documents of each language (chosen by a hash of the
-id, whole texts): each holds its language's ``TOP`` most frequent n-grams, of those whose frequency there
-is at least ``OWN`` of their highest in any language (documents quote other languages).
+The filters are learned from about ``SAMPLE`` documents of each language, chosen by a hash of the
+id, and at most ``READ`` characters of each, in ``PASSAGES`` passages evenly over it. A language contains the n-grams seen in its documents, but for those
+whose frequency there is under ``OWN`` of their highest in any language (documents quote other languages).
 
 A score says which language leads, not that the text is in any: a share of a few stray hits is as high.
 ``recognised`` tells that by the corrected hits of the leading language per n-gram with a letter, which
 must reach ``LEAST`` of what all but ``ODD`` of its own training documents reach. That level comes from
 filters of every other training document, read on the rest, so that it holds for texts not learned from.
 
-Defined results: null texts and texts without a letter are ``und`` with score 0; ties go to the
+Defined results: null texts and texts without a letter (Unicode's categories L) are ``und`` with score 0; ties go to the
 alphabetically first language; with no labelled rows everything is ``und``; text that hits no filter
 gets the first language with score 0; texts without an n-gram that has a letter, and all texts where nothing
 was learned, are not recognised; repeated rows get equal values; other columns pass
@@ -23,20 +23,22 @@ through, but for those named like an output (``recognised`` only where it is ask
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import hash_sample, held_out, table, tuned
+from llm.common import hash_sample, held_out, parts_of, table
 
-GRAM, SLOTS, HASHES, TOP, OWN, SAMPLE = 4, 1 << 18, 2, 8_000, 0.3, 400
+GRAM, SLOTS, HASHES, OWN, SAMPLE = 4, 1 << 18, 2, 0.05, 400
+#: Characters read of a training document at most, in so many passages.
+READ, PASSAGES = 20_000, 20
 LEAST, ODD = 0.5, 0.01
 BLANKS = int.from_bytes(b" " * GRAM, "big")
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 #: ASCII capitals to small letters and everything else that is no letter to one blank byte.
 FOLD = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], np.uint8)
 UND = "und"
@@ -76,11 +78,9 @@ class Filters:
         np.maximum.at(highest, place, np.concatenate([np.zeros(0), *(s for _, s in shares.values())]))
         for k, name in enumerate(languages):
             found, share = shares[name]
-            own = share >= OWN * highest[np.searchsorted(known, found)]
-            found, share = found[own], share[own]
-            top = found[np.lexsort((found, -share))][:TOP]
+            own = found[share >= OWN * highest[np.searchsorted(known, found)]]
             for h in range(HASHES):
-                out[k // 64, slots(top, h)] |= np.uint64(1 << (k % 64))
+                out[k // 64, slots(own, h)] |= np.uint64(1 << (k % 64))
             rates[k] = (((out[k // 64] >> np.uint64(k % 64)) & np.uint64(1)).mean()) ** HASHES
         return cls(languages, out, rates)
 
@@ -147,8 +147,11 @@ class Filters:
 
 def learn(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, levels: bool = False) -> Filters:
     known = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
+    size = READ // PASSAGES
+    evenly = F.transform(F.sequence(F.lit(0), F.lit(PASSAGES - 1)), lambda i: F.substring(F.col(text), (i * (F.length(text) - size) / (PASSAGES - 1)).cast("int") + 1, F.lit(size)))
+    read = F.when(F.length(text) <= READ, F.col(text)).otherwise(F.array_join(evenly, "\n"))
     texts: dict[str, list[str]] = {}
-    for r in hash_sample(known.select(doc_id, text, lang), doc_id, lang, sample).orderBy(F.xxhash64(text), doc_id).collect():
+    for r in hash_sample(known.select(doc_id, text, lang), doc_id, lang, sample).select(doc_id, read.alias("read"), lang).orderBy(F.xxhash64("read"), doc_id).collect():
         texts.setdefault(r[2], []).append(r[1])
     filters = Filters.learned(texts)
     return filters.calibrate(texts) if levels else filters
@@ -156,7 +159,6 @@ def learn(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
 
 def identify(docs: DataFrame, filters: Filters, text: str = "text", recognised: bool = False) -> DataFrame:
     """Adds lang_pred and score, and recognised where asked for, to the rows, whose other columns pass through."""
-    tuned(docs.sparkSession)
     added = ["lang_pred", "score", *(["recognised"] if recognised else [])]
     docs = docs.drop(*added)
     columns = docs.columns
@@ -164,7 +166,7 @@ def identify(docs: DataFrame, filters: Filters, text: str = "text", recognised:
     shared = docs.sparkSession.sparkContext.broadcast(filters)  # 2 MB for each 64 languages
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts_of(batches):
             texts = b.column(text).to_pylist()
             names, scores = shared.value.judge(texts)
             known = [pa.array(shared.value.recognised(texts), pa.bool_())] if recognised else []
