@@ -1,6 +1,6 @@
 """Near-duplicate groups by HyperMinHash.
 
-A text's set of 5-word shingles (64-bit values) is sketched in ``BUCKETS`` registers: of the smallest value
+A text's set of 5-word shingles (64-bit values mixed from XXH3 values of the words) is sketched in ``BUCKETS`` registers: of the smallest value
 in each bucket, the count of leading zeros and ``MANTISSA`` bits after them. Equal sets are one text from here
 on. For banding, empty buckets borrow the register of a bucket in use, by a sequence of their own, so that two
 registers agree with the probability of the similarity whatever the size of the sets. ``ROWS`` registers make a
@@ -26,12 +26,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import dropped, shuffle_partitions, stored, swept, table, tuned
+from llm.common import arrow_batches, dropped, shuffle_partitions, stored, swept, table
 from llm.components import components
-from llm.suffixes import Hasher
 
 WORDS, PERCENT = 5, 85
 BUCKETS, MANTISSA, ROWS = 512, 10, 8
@@ -42,9 +42,7 @@ PROBES = np.random.Generator(np.random.PCG64(5)).integers(0, BUCKETS, (BUCKETS,
 ACCIDENT = 2.0**-MANTISSA / 3
 TILE_TEXTS, TILE_SHINGLES = 2048, 4_000_000
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-SPACE = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
 U64 = np.uint64
-BYTES = Hasher(3)
 FACTORS = np.random.Generator(np.random.PCG64(4)).integers(0, 2**63, (WORDS + 1, WORDS), dtype=np.uint64) * U64(2) + U64(1)
 
 
@@ -56,14 +54,10 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def shingles(text: bytes | None) -> np.ndarray:
     """The sorted distinct shingle values of one text."""
-    data = np.frombuffer((text or b"").translate(LOWER), np.uint8)
-    inside = np.concatenate([[False], ~SPACE[data], [False]])
-    edges = np.flatnonzero(inside[1:] != inside[:-1])
-    starts, ends = edges[0::2], edges[1::2]
-    if not len(starts):
+    found = (text or b"").translate(LOWER).split()  # at 0x20 and 0x09 to 0x0D
+    if not found:
         return np.zeros(0, np.uint64)
-    prefix = BYTES.prefix(data)
-    words = mixed((prefix[ends] - prefix[starts]) * BYTES.inverses[starts] + (ends - starts).astype(np.uint64))
+    words = np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))
     k = min(WORDS, len(words))
     n = len(words) - k + 1
     out = np.zeros(n, np.uint64)
@@ -262,29 +256,30 @@ def verified(docs: DataFrame, clusters: DataFrame, doc_id: str, text: str, perce
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row."""
-    spark = tuned(docs.sparkSession)
-    all_sets = stored(sketched(docs, doc_id, text), "sketches")
-    named = all_sets.filter("set_name IS NOT NULL AND doc_id IS NOT NULL")
-    reps = stored(named.groupBy("set_name").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.max("n_shingles").alias("n_shingles")), "texts")
-    swept(spark)
-    grouped = components(candidates(reps), "a", "b")
-    swept(spark)
-    # every set of an id's rows joins the id's cluster; a cluster's label is a member too
-    inside = grouped.select(F.col("node").alias("rep"), F.col("label").alias("cluster")).unionByName(grouped.select(F.col("label").alias("rep"), F.col("label").alias("cluster"))).distinct()
-    weight = reps.groupBy("rep").agg(F.sum("n_shingles").alias("n_shingles"))
-    clusters = stored(inside.join(weight, "rep").select("rep", "cluster", "n_shingles"), "clusters")
-    links = stored(verified(docs, clusters, doc_id, text, percent), "links")
-    swept(spark)
-    # rows that repeat an id are one node: each of its sets' representatives is linked with it
-    own = named.join(reps.select("set_name", "rep"), "set_name").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).filter("a <> b")
-    labels = components(links.unionByName(own), "a", "b")
-    out = all_sets.select("doc_id", "n_shingles").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("label", "doc_id"))
-    out = stored(out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "neardup")
-    for x in (all_sets, reps, clusters, links):
-        dropped(x)
-    swept(spark)
-    return out
+    spark = docs.sparkSession
+    with arrow_batches(spark):
+        all_sets = stored(sketched(docs, doc_id, text), "sketches")
+        named = all_sets.filter("set_name IS NOT NULL AND doc_id IS NOT NULL")
+        reps = stored(named.groupBy("set_name").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.max("n_shingles").alias("n_shingles")), "texts")
+        swept(spark)
+        grouped = components(candidates(reps), "a", "b")
+        swept(spark)
+        # every set of an id's rows joins the id's cluster; a cluster's label is a member too
+        inside = grouped.select(F.col("node").alias("rep"), F.col("label").alias("cluster")).unionByName(grouped.select(F.col("label").alias("rep"), F.col("label").alias("cluster"))).distinct()
+        weight = reps.groupBy("rep").agg(F.sum("n_shingles").alias("n_shingles"))
+        clusters = stored(inside.join(weight, "rep").select("rep", "cluster", "n_shingles"), "clusters")
+        links = stored(verified(docs, clusters, doc_id, text, percent), "links")
+        swept(spark)
+        # rows that repeat an id are one node: each of its sets' representatives is linked with it
+        own = named.join(reps.select("set_name", "rep"), "set_name").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).filter("a <> b")
+        labels = components(links.unionByName(own), "a", "b")
+        out = all_sets.select("doc_id", "n_shingles").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+        component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("label", "doc_id"))
+        out = stored(out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "neardup")
+        for x in (all_sets, reps, clusters, links):
+            dropped(x)
+        swept(spark)
+        return out
 
 
 def op3_minhash_neardup(spark, sf_dir: str) -> DataFrame:
