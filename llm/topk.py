@@ -1,15 +1,16 @@
 """Exact top-k inner-product search by exhaustive term-at-a-time accumulation.
 
 Vectors become integer rows (floor of 1024 x). Queries and candidates are packed into blocks of
-bounded size; each query block meets each candidate block once, in a task that walks the terms
+bounded size, by rows and by bytes; each query block meets each candidate block once, in a task that walks the terms
 (dimensions with a non-zero query weight), scatters weight times posting into a dense score array,
-selects the k best of the block, and passes on only those. The k best of each query are then
+selects the k best of the block, and passes on only those. The k best of each query row are then
 merged from the blocks' lists.
 
-Defined results: a null vector, an empty one, or one holding a null or non-finite component takes
-no part; rows that share the query's id are its own; vectors of different lengths are compared as sparse rows, missing terms being 0; ties go to
-the smaller id; of repeated ids each row counts; fewer than k candidates give fewer rows; a score
-outside 64 bits is an error.
+Defined results: a null vector, an empty one, one holding a null or non-finite component, and one with a null id take
+no part; vectors of different lengths are compared as sparse rows, missing terms being 0; ties go to the smaller id. Rows
+are told apart even where they repeat an id: each is a candidate of its own (also of other rows with its id), each
+query row has a list of its own, and only the row itself is left out of it. Fewer than k candidates give fewer rows; a
+score outside 64 bits is an error.
 """
 
 from __future__ import annotations
@@ -18,13 +19,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from llm.common import shuffle_partitions, stored, tuned
+from llm.common import dropped, parts_of, shuffle_partitions, stored
 
 SCALE = 1024
 QUERY_BLOCK, CANDIDATE_BLOCK = 1024, 8192
+#: No block's matrix is larger, but for a single row.
+BLOCK_BYTES = 16 << 20
 
 
 def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
@@ -34,20 +38,51 @@ def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
 
 
 def packed(rows: DataFrame, most: int) -> DataFrame:
-    """Blocks of at most ``most`` rows: ids and the dense integer matrix, as bytes."""
+    """Blocks of at most ``most`` rows and ``BLOCK_BYTES``, from as many Arrow batches as it takes: ids, numbers that
+    tell all rows apart, and the dense integer matrix, as bytes."""
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, most):
-                part = b.slice(at, most)
-                ids, lists = part.column("vec_id").to_numpy(zero_copy_only=False), part.column("v")
-                lengths = np.diff(lists.offsets.to_numpy())
-                flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                m = np.zeros((len(ids), int(lengths.max())), np.int64)
-                m[np.arange(m.shape[1])[None, :] < lengths[:, None]] = flat
-                yield pa.RecordBatch.from_arrays([pa.array([ids.astype(np.int64).tobytes()], pa.binary()), pa.array([m.tobytes()], pa.binary()), pa.array([m.shape[1]], pa.int32())], ["ids", "m", "dims"])
+    def block(held: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
+        m = np.zeros((len(held), max(len(v) for _, _, v in held)), np.int64)
+        for i, (_, _, v) in enumerate(held):
+            m[i, : len(v)] = v
+        ids, own = (np.array([h[k] for h in held], np.int64).tobytes() for k in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (ids, own, m.tobytes())], ["ids", "own", "m"])
 
-    return rows.mapInArrow(pack, "ids binary, m binary, dims int")
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 40
+        held: list[tuple[int, int, np.ndarray]] = []
+        longest = 0
+        for b in parts_of(batches, most):
+            ids = b.column("vec_id").to_numpy(zero_copy_only=False)
+            own = b.column("own").to_numpy(zero_copy_only=False) if "own" in b.schema.names else number + np.arange(b.num_rows)
+            number += b.num_rows
+            lists = b.column("v")
+            ends = lists.offsets.to_numpy()
+            flat = lists.values.to_numpy(zero_copy_only=False).astype(np.int64)
+            for i in range(b.num_rows):
+                v = flat[ends[i] : ends[i + 1]]
+                if held and (len(held) == most or (len(held) + 1) * max(longest, len(v)) * 8 > BLOCK_BYTES):
+                    yield block(held)
+                    held, longest = [], 0
+                held.append((int(ids[i]), int(own[i]), v))
+                longest = max(longest, len(v))
+        if held:
+            yield block(held)
+
+    return rows.mapInArrow(pack, "ids binary, own binary, m binary")
+
+
+def asking(blocks: DataFrame, every: int) -> DataFrame:
+    """The rows of the blocks whose id is divisible by ``every``: vec_id, own, v."""
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts_of(batches, 1):
+            ids, own = (np.frombuffer(b.column(c)[0].as_py(), np.int64) for c in ("ids", "own"))
+            m = np.frombuffer(b.column("m")[0].as_py(), np.int64).reshape(len(ids), -1)
+            at = np.flatnonzero(ids % every == 0)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(own[at]), pa.array(list(m[at]), pa.list_(pa.int64()))], ["vec_id", "own", "v"])
+
+    return blocks.mapInArrow(take, "vec_id long, own long, v array<long>")
 
 
 def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
@@ -61,45 +96,50 @@ def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
 
 
 def accumulate(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Scores of one sparse query row against all rows of x, term by term."""
+    """Scores of one sparse query row against all rows of x, term by term. Where a sum could pass 64 bits, high and
+    low halves of the products are added up apart."""
+    terms = np.flatnonzero(q[: x.shape[0]])
     if float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(1, x.shape[0]) < 2**62:
         scores = np.zeros(x.shape[1], np.int64)
-        for t in np.flatnonzero(q[: x.shape[0]]):
+        for t in terms:
             scores += q[t] * x[t]
         return scores
-    exact = [sum(int(a) * int(b) for a, b in zip(q, column, strict=False)) for column in x.T]
-    return np.array(exact, np.int64)  # raises OverflowError beyond 64 bits
+    exact = np.zeros(x.shape[1], object)
+    for t in terms:
+        exact += x[t].astype(object) * int(q[t])
+    return exact.astype(np.int64)  # raises OverflowError beyond 64 bits
 
 
 def top_k(vectors: DataFrame, k: int = 10, every: int = 100, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score for the rows whose id is divisible by ``every``."""
-    spark = tuned(vectors.sparkSession, CANDIDATE_BLOCK)
-    rows = usable(vectors, vec_id, embedding)
-    n = shuffle_partitions(spark)
-    blocks = stored(packed(rows, CANDIDATE_BLOCK), "topk-candidates")
-    queries = packed(rows.filter(F.col("vec_id") % every == 0).repartition(n, "vec_id"), QUERY_BLOCK)
-    queries = queries.select(F.col("ids").alias("q_ids"), F.col("m").alias("q_m"), F.col("dims").alias("q_dims"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("slot"))
-    slotted = blocks.withColumn("slot", F.pmod(F.xxhash64("ids"), F.lit(n)).cast("int"))
-    pairs = slotted.join(queries, "slot")  # every query block once with every candidate block
+    n = shuffle_partitions(vectors.sparkSession)
+    blocks = stored(packed(usable(vectors, vec_id, embedding), CANDIDATE_BLOCK), "topk-candidates")
+    asked = stored(asking(blocks, every), "topk-asked")
+    queries = stored(packed(asked.repartition(max(1, -(-asked.count() // QUERY_BLOCK))), QUERY_BLOCK), "topk-queries")
+    sent = queries.select(F.col("ids").alias("q_ids"), F.col("own").alias("q_own"), F.col("m").alias("q_m"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("slot"))
+    slotted = blocks.withColumn("slot", F.pmod(F.xxhash64("own"), F.lit(n)).cast("int"))
+    pairs = slotted.join(sent, "slot")  # every query block once with every candidate block
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in b.to_pylist():
-                ids, q_ids = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["q_ids"], np.int64)
-                x = np.ascontiguousarray(np.frombuffer(r["m"], np.int64).reshape(len(ids), -1).T)
-                out: list[list[np.ndarray]] = [[], [], []]
-                for qid, q in zip(q_ids, np.frombuffer(r["q_m"], np.int64).reshape(len(q_ids), -1), strict=True):
-                    scores, others = accumulate(q, x), ids != qid
-                    at = best(ids[others], scores[others], k)
-                    for o, v in zip(out, (np.full(len(at), qid), ids[others][at], scores[others][at]), strict=True):
-                        o.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o) if o else [], pa.int64()) for o in out], ["query_id", "vec_id", "score"])
-
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
-    found = pairs.select("ids", "m", "q_ids", "q_m").mapInArrow(search, "query_id long, vec_id long, score long")
+        for b in parts_of(batches, 1):
+            r = b.to_pylist()[0]
+            ids, own, q_ids, q_own = (np.frombuffer(r[c], np.int64) for c in ("ids", "own", "q_ids", "q_own"))
+            x = np.ascontiguousarray(np.frombuffer(r["m"], np.int64).reshape(len(ids), -1).T)
+            out: list[list[np.ndarray]] = [[], [], [], []]
+            for qid, mine, q in zip(q_ids, q_own, np.frombuffer(r["q_m"], np.int64).reshape(len(q_ids), -1), strict=True):
+                scores, others = accumulate(q, x), np.flatnonzero(own != mine)
+                at = others[best(ids[others], scores[others], k)]
+                for o, v in zip(out, (np.full(len(at), qid), np.full(len(at), mine), ids[at], scores[at]), strict=True):
+                    o.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o) if o else [], pa.int64()) for o in out], ["query_id", "own", "vec_id", "score"])
+
+    found = pairs.select("ids", "own", "m", "q_ids", "q_own", "q_m").mapInArrow(search, "query_id long, own long, vec_id long, score long")
     # the rank limit is applied before the shuffle too, so k rows a query and task are dealt out
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    rank = F.row_number().over(Window.partitionBy("query_id", "own").orderBy(F.desc("score"), "vec_id"))
+    out = stored(found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"), "topk")
+    for x in (blocks, asked, queries):
+        dropped(x)
+    return out
 
 
 def op10_exact_topk(spark, sf_dir: str) -> DataFrame:
@@ -108,17 +148,17 @@ def op10_exact_topk(spark, sf_dir: str) -> DataFrame:
 
 SQL = """
 WITH e AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
-  WHERE embedding IS NOT NULL AND len(embedding) > 0
+  SELECT row_number() OVER () AS own, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
     AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
 ), u AS (
-  SELECT vec_id, unnest(v) AS w, generate_subscripts(v, 1) AS term FROM e
+  SELECT own, vec_id, unnest(v) AS w, generate_subscripts(v, 1) AS term FROM e
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, sum(q.w * c.w)::BIGINT AS score
-  FROM u q JOIN u c ON q.term = c.term AND q.vec_id <> c.vec_id
-  WHERE q.vec_id % 100 = 0 GROUP BY 1, 2
+  SELECT q.own AS q_own, q.vec_id AS query_id, c.own AS c_own, c.vec_id AS vec_id, sum(q.w * c.w)::BIGINT AS score
+  FROM u q JOIN u c ON q.term = c.term AND q.own <> c.own
+  WHERE q.vec_id % 100 = 0 GROUP BY 1, 2, 3, 4
 ), r AS (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s
+  SELECT *, row_number() OVER (PARTITION BY q_own ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
