@@ -4,8 +4,8 @@ The model is trained on ``LABELLED`` (a small table kept here), by full-batch gr
 a fixed number of steps, so that it is the same on every machine.
 
 Defined results: a null url, or one without ``://``, has empty host and path and is judged by the
-model on the empty string; no row is dropped; repeated rows get the same verdict; extra columns are
-ignored.
+model on the empty string; no row is dropped; urls of any length are read whole; repeated rows get the same verdict; extra
+columns pass through, but for those named like an output, which the output replaces.
 """
 
 from __future__ import annotations
@@ -44,30 +44,45 @@ LABELLED = [
 BITS, NGRAMS = 14, (3, 4, 5)
 
 
-def hashed(host: str, path: str) -> np.ndarray:
-    """Slots of the distinct n-grams of ``host`` and ``path``, each marked by where it is from."""
-    found = {f"{mark}{s[i : i + n]}" for mark, s in (("h", f"^{host}$"), ("p", f"^{path}$")) for n in NGRAMS for i in range(max(1, len(s) - n + 1))}
-    import zlib
-
-    return np.unique(np.fromiter((zlib.crc32(x.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1) for x in found), np.int64))
-
-
-def train(rows: list[tuple[str, str, int]] = LABELLED, steps: int = 300, rate: float = 2.0, l2: float = 1e-3) -> np.ndarray:
+def slots_of(hosts: list[str], paths: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, slot) of the distinct n-grams (of UTF-8 bytes) of each row's host and path; both are set between ``^`` and
+    ``$``, and an n-gram is marked by which of them it is from."""
+    rows, slots = [], []
+    for mark, column in ((1, hosts), (2, paths)):
+        data = [b"^%s$" % x.encode("utf-8", "surrogatepass") for x in column]
+        ends = np.cumsum([len(d) for d in data])
+        x = np.frombuffer(b"".join(data), np.uint8).astype(np.uint64)
+        row = np.repeat(np.arange(len(data)), [len(d) for d in data])
+        for n in NGRAMS:
+            at = np.arange(max(0, len(x) - n + 1))
+            at = at[at + n <= ends[row[at]]]
+            code = np.full(len(at), mark * 8 + n, np.uint64)
+            for i in range(n):
+                code = code * np.uint64(256) + x[at + i]
+            rows.append(row[at])
+            slots.append((code * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - BITS)).astype(np.int64))
+    row, slot = np.concatenate(rows), np.concatenate(slots)
+    both = np.unique(row << BITS | slot)
+    return both >> BITS, both & ((1 << BITS) - 1)
+
+
+def train(labelled: list[tuple[str, str, int]] = LABELLED, steps: int = 300, rate: float = 2.0, l2: float = 1e-3) -> np.ndarray:
     """Weights of the slots and, last, the bias."""
-    x = np.zeros((len(rows), (1 << BITS) + 1))
-    for i, (host, path, _) in enumerate(rows):
-        slots = hashed(host, path)
-        x[i, slots] = 1 / np.sqrt(len(slots))
-        x[i, -1] = 1
-    y, w = np.array([r[2] for r in rows], float), np.zeros(x.shape[1])
+    row, slot = slots_of([r[0] for r in labelled], [r[1] for r in labelled])
+    x = np.zeros((len(labelled), (1 << BITS) + 1))
+    x[row, slot] = 1
+    x /= np.sqrt(np.maximum(1, x.sum(axis=1, keepdims=True)))
+    x[:, -1] = 1
+    y, w = np.array([r[2] for r in labelled], float), np.zeros(x.shape[1])
     for _ in range(steps):
         w -= rate * (x.T @ (1 / (1 + np.exp(-x @ w)) - y) / len(y) + l2 * w)
     return w
 
 
-def probability(w: np.ndarray, host: str, path: str) -> float:
-    slots = hashed(host, path)
-    return float(1 / (1 + np.exp(-(w[slots].sum() / np.sqrt(len(slots)) + w[-1]))))
+def probabilities(w: np.ndarray, hosts: list[str], paths: list[str]) -> np.ndarray:
+    row, slot = slots_of(hosts, paths)
+    sums, n = np.bincount(row, weights=w[slot], minlength=len(hosts)), np.bincount(row, minlength=len(hosts))
+    return 1 / (1 + np.exp(-(sums / np.sqrt(np.maximum(1, n)) + w[-1])))
 
 
 def host_of(url: Column) -> Column:
@@ -87,8 +102,12 @@ def judge_urls(rows: DataFrame, url: str = "url", rules: list[tuple[str, str, st
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for hosts, paths in batches:
-            yield pd.Series([probability(weights, h, p) for h, p in zip(hosts, paths, strict=True)], dtype="float64")
+        for hosts, paths in batches:  # null where a rule decides: the model runs only over the rest
+            out, asked = np.full(len(hosts), np.nan), np.flatnonzero(hosts.notna().to_numpy())
+            for k in range(0, len(asked), 1000):
+                some = asked[k : k + 1000]
+                out[some] = probabilities(weights, hosts.iloc[some].tolist(), paths.iloc[some].tolist())
+            yield pd.Series(out)
 
     out = rows.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
     rule, said = F.lit(None).cast("string"), F.lit(None).cast("string")
@@ -96,11 +115,9 @@ def judge_urls(rows: DataFrame, url: str = "url", rules: list[tuple[str, str, st
         fits = ((F.col("host") == host) | F.col("host").endswith("." + host)) & F.col("path").startswith(path)
         rule, said = F.when(fits, host + path).otherwise(rule), F.when(fits, verdict).otherwise(said)
     ruled = out.withColumns({"rule": rule, "verdict": said})
-    asked = F.col("rule").isNull()  # the model runs only over what no rule decides
-    by_rule = ruled.filter(~asked).withColumn("p_block", F.lit(None).cast("double"))
-    by_model = ruled.filter(asked).withColumn("p_block", scored("host", "path"))
-    by_model = by_model.withColumn("verdict", F.when(F.col("p_block") >= threshold, "block").otherwise("allow"))
-    return by_rule.unionByName(by_model)
+    asked = F.col("rule").isNull()
+    judged = ruled.withColumn("p_block", F.nanvl(scored(F.when(asked, F.col("host")), F.when(asked, F.col("path"))), F.lit(None).cast("double")))
+    return judged.withColumn("verdict", F.when(~asked, F.col("verdict")).when(F.col("p_block") >= threshold, "block").otherwise("allow"))
 
 
 def op8_url_filter(spark, sf_dir: str) -> DataFrame:
