@@ -25,19 +25,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from llm.bpe import ByteBPE, loaded
-from llm.common import shuffle_partitions, stored, table, tuned
+from llm.common import parts_of, shuffle_partitions, stored, table
 
 SIZE, END = 2048, 0
 
 
 def pieces_of(docs: DataFrame, path: str, size: int = SIZE, end: int = END, doc_id: str = "doc_id", text: str = "text", keep_ids: bool = True) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 and ids (little-endian unsigned 32-bit; null unless kept)."""
-    tuned(docs.sparkSession)
     mark = np.array([end], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path, ByteBPE)
-        for b in batches:
+        for b in parts_of(batches):
             out: list[list] = [[], [], [], [], [], []]
             for key, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 ids = bpe.encode(t) + mark
@@ -161,7 +160,7 @@ def pack(pieces: DataFrame, size: int = SIZE) -> DataFrame:
     schema = ", ".join(f"{c} {t}" for c, t in pieces.dtypes) + ", sequence_id long, offset long"
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts_of(batches):
             length, rank = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "rank"))
             k = np.searchsorted(key, (length << 40) + rank, side="right") - 1
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(base[k] + rank if len(k) else rank, pa.int64()), pa.array(offset[k] if len(k) else rank, pa.int64())], [*columns, "sequence_id", "offset"])
