@@ -33,7 +33,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import parts_of, table
+from llm.common import bounded, parts_of, table
 
 LEAF, LONG_WORD, KEPT_WORDS, THREADS = 8192, 256, 600_000, 4
 #: The splitter of the word vocabulary, as its file states it, and the same over ASCII letters.
@@ -261,6 +261,7 @@ def loaded(path: str, kind: type = WordBPE):
 
 def encode_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", keep: bool = True) -> DataFrame:
     """doc_id, ids (null unless kept), n_tokens, ids_sha256, decoded (null unless kept), decoded_sha256."""
+    bounded(docs.sparkSession)
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
         digits = [str(i) for i in range(len(bpe.tokens))]

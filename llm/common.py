@@ -32,6 +32,15 @@ def arrow_batches(spark: SparkSession, rows: int = 1000, size: int = 16 << 20):
             spark.conf.set(k, v)
 
 
+def bounded(spark: SparkSession, rows: int = 1000, size: int = 16 << 20) -> None:
+    """Lowers the session's Arrow batches to these bounds, for plans that run after the call returns and read the
+    settings then. Smaller settings stay; none is raised."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, rows + 1):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= size:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
 def parts_of(batches: Iterable[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
     """The batches in slices of at most ``rows`` rows, whatever the session's batch size is."""
     for b in batches:

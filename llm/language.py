@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import hash_sample, held_out, parts_of, table
+from llm.common import bounded, hash_sample, held_out, parts_of, table
 
 GRAM, SLOTS, HASHES, OWN, SAMPLE = 4, 1 << 18, 2, 0.05, 400
 #: Characters read of a training document at most, in so many passages.
@@ -159,6 +159,7 @@ def learn(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
 
 def identify(docs: DataFrame, filters: Filters, text: str = "text", recognised: bool = False) -> DataFrame:
     """Adds lang_pred and score, and recognised where asked for, to the rows, whose other columns pass through."""
+    bounded(docs.sparkSession)
     added = ["lang_pred", "score", *(["recognised"] if recognised else [])]
     docs = docs.drop(*added)
     columns = docs.columns

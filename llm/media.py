@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import parts_of, table
+from llm.common import bounded, parts_of, table
 
 UNIT, PAD, RATE = 576, 255, 8000
 FRAME, HOP, BLOCK = 576, 288, 2048
@@ -89,6 +89,7 @@ def media_columns(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k
     """One row per document: the WAV (``media``; null unless kept), what is read back from it, and
     its fingerprint."""
 
+    bounded(docs.sparkSession)
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts_of(batches):
             rows = []

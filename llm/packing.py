@@ -25,13 +25,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from llm.bpe import ByteBPE, loaded
-from llm.common import parts_of, shuffle_partitions, stored, table
+from llm.common import bounded, parts_of, shuffle_partitions, stored, table
 
 SIZE, END = 2048, 0
 
 
 def pieces_of(docs: DataFrame, path: str, size: int = SIZE, end: int = END, doc_id: str = "doc_id", text: str = "text", keep_ids: bool = True) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 and ids (little-endian unsigned 32-bit; null unless kept)."""
+    bounded(docs.sparkSession)
     mark = np.array([end], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -50,7 +50,7 @@ import zstandard as zs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import hash_sample, held_out, parts_of, table
+from llm.common import bounded, hash_sample, held_out, parts_of, table
 
 SAMPLE, READ, PASSAGE = 2500, 400, 40
 LONGEST, WINDOW, STEP, PAD = 48, 4, 2, 24
@@ -303,6 +303,7 @@ def trained(toxic: list[list[str]], ordinary: list[list[str]]) -> Distance:
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Distance:
     """From the labelled documents that are not held out. Passages of the sample reach the driver, which trains the
     dictionaries; the calibration counts its texts' features where they are."""
+    bounded(docs.sparkSession)
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     all_toxic, all_ordinary = known.agg(F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") == 0)).first()
     if not all_toxic or not all_ordinary:
@@ -347,6 +348,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Distance:
 
 def score_toxicity(docs: DataFrame, model: Distance, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Adds score and predicted to the rows, whose other columns pass through."""
+    bounded(docs.sparkSession)
     docs = docs.drop("score", "predicted")
     columns = docs.columns
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + ", score double, predicted int"
