@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from llm.common import bounded, parts_of, table
 
-LEAF, LONG_WORD, KEPT_WORDS, THREADS = 8192, 256, 600_000, 4
+LEAF, LONG_WORD, KEPT_WORDS, THREADS = 8192, 256, 300_000, 4
 #: The splitter of the word vocabulary, as its file states it, and the same over ASCII letters.
 #: White space is Unicode's (Python's \s also takes in \x1c to \x1f).
 BLANK = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"

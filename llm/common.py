@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -48,6 +49,18 @@ def parts_of(batches: Iterable[pa.RecordBatch], rows: int = 1000) -> Iterator[pa
             yield b.slice(at, rows)
 
 
+def released(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; at their end, memory that the worker's allocators hold but do not use goes back to the system, since
+    Spark keeps workers for later tasks."""
+    yield from batches
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` where it is set; a temporary folder
     in local mode, where all is one machine (tests); an error on a cluster without one."""

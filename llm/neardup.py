@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import arrow_batches, dropped, shuffle_partitions, stored, swept, table
+from llm.common import arrow_batches, dropped, released, shuffle_partitions, stored, swept, table
 from llm.components import components
 
 WORDS, PERCENT = 5, 85
@@ -165,7 +165,7 @@ def sketched(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.array(values, pa.binary())], ["doc_id", "n_shingles", "set_name", "bands"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    return rows.mapInArrow(made, "doc_id long, n_shingles long, set_name binary, bands binary")
+    return rows.mapInArrow(lambda batches: released(made(batches)), "doc_id long, n_shingles long, set_name binary, bands binary")
 
 
 def candidates(reps: DataFrame) -> DataFrame:
@@ -221,8 +221,8 @@ def candidates(reps: DataFrame) -> DataFrame:
         if held:
             yield pairs(held)
 
-    dealt = reps.select("rep", "bands").mapInArrow(deal, "r int, k binary, i binary").repartition(n, "r").sortWithinPartitions("r")
-    return dealt.mapInArrow(meet, "a long, b long")
+    dealt = reps.select("rep", "bands").mapInArrow(lambda batches: released(deal(batches)), "r int, k binary, i binary").repartition(n, "r").sortWithinPartitions("r")
+    return dealt.mapInArrow(lambda batches: released(meet(batches)), "a long, b long")
 
 
 def verified(docs: DataFrame, clusters: DataFrame, doc_id: str, text: str, percent: int) -> DataFrame:
@@ -251,7 +251,7 @@ def verified(docs: DataFrame, clusters: DataFrame, doc_id: str, text: str, perce
         if ids:
             yield links(ids, sets)
 
-    return tiles.repartition(n, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(check, "a long, b long")
+    return tiles.repartition(n, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(lambda batches: released(check(batches)), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:

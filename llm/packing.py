@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from llm.bpe import ByteBPE, loaded
-from llm.common import bounded, parts_of, shuffle_partitions, stored, table
+from llm.common import bounded, parts_of, released, shuffle_partitions, stored, table
 
 SIZE, END = 2048, 0
 
@@ -52,7 +52,7 @@ def pieces_of(docs: DataFrame, path: str, size: int = SIZE, end: int = END, doc_
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return rows.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary")
+    return rows.mapInArrow(lambda batches: released(cut(batches)), "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary")
 
 
 def patterns(present: np.ndarray, size: int, spread: int = 12) -> np.ndarray:

@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import arrow_batches, dropped, parts_of, shuffle_partitions, stored, swept, table
+from llm.common import arrow_batches, dropped, parts_of, released, shuffle_partitions, stored, swept, table
 
 #: Perfect difference sets: every residue modulo the key is a difference of two members.
 COVERS = {
@@ -48,11 +48,11 @@ COVERS = {
     57: (0, 1, 3, 13, 32, 36, 43, 52),
     91: (0, 1, 3, 9, 27, 49, 56, 61, 77, 81),
 }
-CHUNK = 3 << 20
+CHUNK = 2 << 20
 #: Names are dealt out in so many ranges that one answers for the names of about this much text.
 RANGE = 8 << 20
 #: Round 3 has the most names; it deals them out in so many passes, each over a part of the ranges.
-PASSES = 2
+PASSES = 3
 U64 = np.uint64
 
 
@@ -256,7 +256,7 @@ def packed(docs: DataFrame, text: str, cover: int, most: int) -> DataFrame:
         if held:
             yield chunk()
 
-    return docs.select(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary").alias("__text"), *(F.col(f"`{c}`") for c in others)).mapInArrow(pack, CHUNKS)
+    return docs.select(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary").alias("__text"), *(F.col(f"`{c}`") for c in others)).mapInArrow(lambda batches: released(pack(batches)), CHUNKS)
 
 
 def answered(asked: DataFrame, wide: bool) -> DataFrame:
@@ -350,7 +350,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, text: str = "text", chunk
 
             kinds = dict(docs.dtypes)
             schema = ", ".join(f"`{c}` {kinds[c]}" for c in others) + (", " if others else "") + ("kept string" if as_text else "kept binary") + ", n_bytes long, n_removed long, n_spans long"
-            return stored(rows.mapInArrow(finish, schema), "kept")
+            return stored(rows.mapInArrow(lambda batches: released(finish(batches)), schema), "kept")
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
         for a in answers:

@@ -50,7 +50,7 @@ import zstandard as zs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import bounded, hash_sample, held_out, parts_of, table
+from llm.common import bounded, hash_sample, held_out, parts_of, released, table
 
 SAMPLE, READ, PASSAGE = 2500, 400, 40
 LONGEST, WINDOW, STEP, PAD = 48, 4, 2, 24
@@ -359,7 +359,7 @@ def score_toxicity(docs: DataFrame, model: Distance, text: str = "text", thresho
             scores = shared.value.scores(b.column(text).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64()), pa.array(scores >= threshold).cast(pa.int32())], [*columns, "score", "predicted"])
 
-    return docs.mapInArrow(scored, schema)
+    return docs.mapInArrow(lambda batches: released(scored(batches)), schema)
 
 
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:
