@@ -1,7 +1,6 @@
 """Sessions: prepared styles and batches, their ownership and lifetime, export, exact recovery and metrics.
 
-An Engine owns what it prepared. Acquisitions of one key that run at the same time share one result, and
-exchanges are bounded. A batch holds its acquired resources as a written table, so a lost executor or a
+An Engine owns what it prepared. A batch holds its acquired resources as a written table, so a lost executor or a
 failed render never fetches again.
 """
 
@@ -107,7 +106,6 @@ class Engine:
         self.spark, self.path, self.transport = spark, path, transport
         self.store, self.flights, self.closed = store.RawStore(spark, f"{path}/raw"), SingleFlight(), False
         self.metrics: Counter = Counter(dict.fromkeys(METRICS, 0))
-        self._owned: set[int] = set()
 
     def _open(self) -> None:
         if self.closed:
@@ -121,7 +119,7 @@ class Engine:
     def prepare(self, document: bytes | str | dict, **options) -> style.Prepared:
         self._open()
         made = style.prepare(document, **options)
-        self._owned.add(id(made))
+        made.owner = self
         return made
 
     def prepare_url(self, url: str, **options) -> style.Prepared:
@@ -140,7 +138,7 @@ class Engine:
 
     def _check(self, program: style.Prepared, requested: DataFrame) -> None:
         self._open()
-        if id(program) not in self._owned:
+        if program.owner is not self:
             raise EngineError("FOREIGN_PREPARED_STYLE", "the style is another engine's")
         if planner.duplicate_tiles(requested).limit(1).count() or requested.filter(~tiles.valid(F.col("z"), F.col("y"))).limit(1).count():
             raise EngineError("INVALID_TILE_ID", "repeated or invalid tiles")

@@ -132,8 +132,8 @@ _filter("filter_legacy_in", ["in", "status", "F", "P", 3], "o_orderstatus IN ('F
 _filter("filter_legacy_notin", ["!in", "clerk", "1-URGENT", "2-HIGH"], "clerk IS NULL OR clerk NOT IN ('1-URGENT', '2-HIGH')")
 _filter("filter_legacy_has", ["all", ["has", "clerk"], ["has", "$id"]], "has_clerk")
 _filter("filter_legacy_not_has", ["!has", "clerk"], "NOT has_clerk")
-_filter("filter_legacy_neq", ["!=", "price", "F"], "true")  # a mismatch of types is unequal
-_filter("filter_legacy_compare", ["all", ["<=", "price", 200000], ["<", "status", "P"], ["<", "missing", 4]], "false")
+_filter("filter_legacy_neq", ["all", ["!=", "status", "F"], ["!=", "price", "F"]], "o_orderstatus <> 'F'")  # a mismatch of types is unequal
+_filter("filter_legacy_compare", ["any", ["all", ["<=", "price", 200000], ["<", "status", "P"]], ["<", "missing", 4]], "o_totalprice <= 200000 AND o_orderstatus < 'P'")
 _filter("filter_expr", ["all", ["==", ["get", "status"], "O"], [">=", ["zoom"], 12], ["<=", ["get", "price"], 150000]], "o_orderstatus = 'O' AND z >= 12 AND o_totalprice <= 150000")
 _filter("filter_mixed_dialect", ["all", ["==", "status", "F"], [">=", ["zoom"], 12]], "false")  # compares two literals
 _filter("filter_expr_null_strict", ["!", ["all", ["==", ["get", "status"], "F"], ["boolean", ["get", "nothing"]]]], "false")
@@ -160,7 +160,7 @@ def _expression(name: str, document, sql: str, kind: Kind | None = None, prop: b
 
 _expression("expr_case", ["case", ["==", ["get", "status"], "F"], 1, [">=", ["get", "price"], 100000], 2, 3], "CASE WHEN o_orderstatus = 'F' THEN 1 WHEN o_totalprice >= 100000 THEN 2 ELSE 3 END::DOUBLE")
 _expression("expr_match", ["match", ["get", "priority"], ["1-URGENT", "2-HIGH"], "high", "5-LOW", "low", "other"], "CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'high' WHEN o_orderpriority = '5-LOW' THEN 'low' ELSE 'other' END")
-_expression("expr_step", ["step", ["zoom"], 2, 10, 4, 15, 8, 20, 16], "CASE WHEN z >= 20 THEN 16 WHEN z >= 15 THEN 8 WHEN z >= 10 THEN 4 ELSE 2 END::DOUBLE")
+_expression("expr_step", ["step", ["get", "price"], "low", 50000, "middle", 150000.5, "high", 250000, "top"], "CASE WHEN o_totalprice >= 250000 THEN 'top' WHEN o_totalprice >= 150000.5 THEN 'high' WHEN o_totalprice >= 50000 THEN 'middle' ELSE 'low' END")
 _expression("expr_interp_linear", ["interpolate", ["linear"], ["get", "price"], 1000, 0, 50000, 10, 300000, 100], "round(CASE WHEN o_totalprice <= 1000 THEN 0 WHEN o_totalprice >= 300000 THEN 100 WHEN o_totalprice < 50000 THEN 10 * (o_totalprice - 1000) / 49000 ELSE 10 + 90 * (o_totalprice - 50000) / 250000 END::DOUBLE, 6)")
 _expression("expr_interp_exp", ["interpolate", ["exponential", 1.5], ["zoom"], 5, 1, 18, 40], "round(CASE WHEN z <= 5 THEN 1 WHEN z >= 18 THEN 40 ELSE 1 + 39 * (pow(1.5, z - 5) - 1) / (pow(1.5, 13) - 1) END::DOUBLE, 6)")
 _expression("expr_interp_color", ["interpolate", ["linear"], ["zoom"], 0, "#102030", 20, "rgba(250, 100, 0, 0.5)"], """
@@ -172,7 +172,7 @@ _expression("expr_in_array", ["in", ["get", "status"], ["literal", ["F", "O", 3]
 _expression("expr_null_eq", ["==", ["get", "nothing"], ["get", "clerk"]], "clerk IS NULL")
 _expression("expr_type_exact", ["==", ["get", "price"], "3"], "false")
 _expression("expr_has", ["any", ["has", "clerk"], ["!", ["==", ["geometry-type"], "Polygon"]]], "has_clerk OR geom_type <> 'Polygon'")
-_expression("legacy_fn_exp", {"base": 1.2, "stops": [[3, 0.9], [10, 2.3], [10, 0.5], [16, 5.4]]}, "round(CASE WHEN z < 3 THEN 0.9 WHEN z < 10 THEN 0.9 + 1.4 * (pow(1.2, z - 3) - 1) / (pow(1.2, 7) - 1) WHEN z < 16 THEN 0.5 + 4.9 * (pow(1.2, z - 10) - 1) / (pow(1.2, 6) - 1) ELSE 5.4 END::DOUBLE, 6)", prop=True)
+_expression("legacy_fn_exp", {"base": 1.6, "stops": [[1, 40], [5, 12], [11, 12], [11, 30], [19, 90]]}, "round(CASE WHEN z < 1 THEN 40 WHEN z < 5 THEN 40 - 28 * (pow(1.6, z - 1) - 1) / (pow(1.6, 4) - 1) WHEN z < 11 THEN 12 WHEN z < 19 THEN 30 + 60 * (pow(1.6, z - 11) - 1) / (pow(1.6, 8) - 1) ELSE 90 END::DOUBLE, 6)", prop=True)
 _expression("legacy_fn_interval", {"type": "interval", "stops": [[0, "minor"], [10, "major"]]}, "CASE WHEN z < 10 THEN 'minor' ELSE 'major' END", prop=True)
 _expression("legacy_fn_identity", {"type": "identity", "property": "clerk", "default": "none"}, "CASE WHEN has_clerk THEN clerk ELSE 'none' END", prop=True)
 

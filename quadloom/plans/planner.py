@@ -108,10 +108,12 @@ def missing_from(requested: DataFrame, batch: DataFrame) -> DataFrame:
 
 def merged_children(features: DataFrame) -> DataFrame:
     """Layers of four child tiles (child 0 to 3) as one: the extent of the first child that has the layer,
-    features in order of child and ordinal, coordinates in the parent's extent."""
-    extents = features.groupBy("layer").agg(F.min_by("extent", "child").alias("parent_extent"))
-    place = Window.partitionBy("layer").orderBy("child", "ord")
-    moved = features.join(F.broadcast(extents), "layer")
+    features in order of child and ordinal, coordinates in the parent's extent. Children of several sources and
+    parents (source_id, parent_z, parent_x, parent_y, where there) are kept apart."""
+    keys = [k for k in ("source_id", "parent_z", "parent_x", "parent_y", "layer") if k in features.columns]
+    extents = features.groupBy(*keys).agg(F.min_by("extent", "child").alias("parent_extent"))
+    place = Window.partitionBy(*keys).orderBy("child", "ord")
+    moved = features.join(extents, keys)
     q = lambda c, quadrant: tiles.rescaled(c, F.col("extent"), F.col("parent_extent"), quadrant).cast("int")
     dx, dy = F.col("child") % 2, F.call_function("div", F.col("child"), F.lit(2))
     parts = F.transform("parts", lambda part: F.transform(part, lambda p: F.struct(q(p.x, dx).alias("x"), q(p.y, dy).alias("y"))))

@@ -15,6 +15,8 @@ from quadloom.types import ACCESS_MODES, EngineError
 
 STORED = "stable_id string, class string, bytes binary, digest string, content_type string, stored_at long"
 RETRIED, LONGEST_WAIT_MS = (408, 429), 5000
+#: Tasks that fetch from one origin at most.
+SPREAD = 6
 #: (status, bytes, headers) for a url; raises OSError where the exchange fails.
 Transport = Callable[[str], tuple[int, bytes, dict]]
 
@@ -36,10 +38,16 @@ def exchange(transport: Transport, url: str, sleep: Callable[[float], None] = ti
 
 
 class RawStore:
-    """Rows of STORED by (stable_id, class); each change writes a new version of the table."""
+    """Rows of STORED by (stable_id, class); each change writes a new version of the table, named by its time. A store
+    that is opened again has the newest version that was written whole."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path, self.version = spark, path, None
+        self.spark, self.path = spark, path
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        names = [x.getPath().getName() for x in files.listStatus(at)] if files.exists(at) else []
+        whole = [n for n in names if n.startswith("v") and files.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
+        self.version = max(whole, default=None)
 
     def read(self) -> DataFrame:
         if self.version is None:
@@ -59,7 +67,7 @@ class RawStore:
         self._next(self.read().join(keys.select("stable_id", "class").distinct(), ["stable_id", "class"], "left_anti"))
 
     def _next(self, rows: DataFrame) -> None:
-        version = uuid.uuid4().hex
+        version = f"v{time.time_ns():020d}-{uuid.uuid4().hex}"
         rows.write.parquet(f"{self.path}/{version}")
         self.version = version
 
@@ -89,7 +97,7 @@ def acquire(wanted: DataFrame, store: RawStore, transport: Transport | None, mod
             yield pa.RecordBatch.from_arrays([b.column("stable_id"), b.column("class"), pa.array([g[1] for g in got], pa.binary()), pa.array([g[0] for g in got], pa.int32())], ["stable_id", "class", "bytes", "status"])
 
     origin = F.regexp_extract("url", "^[a-z]+://[^/]*", 0)
-    fetched = absent.repartition(origin).mapInArrow(fetch, "stable_id string, class string, bytes binary, status int")
+    fetched = absent.repartition(origin, F.pmod(F.xxhash64("stable_id"), F.lit(SPREAD))).mapInArrow(fetch, "stable_id string, class string, bytes binary, status int")
     fetched.write.parquet(path := f"{store.path}/fetched-{uuid.uuid4().hex}")
     fetched = store.spark.read.parquet(path)
     store.write(fetched.filter("bytes IS NOT NULL").withColumn("content_type", F.lit(None).cast("string")))

@@ -7,6 +7,7 @@ import math
 from dataclasses import dataclass, field
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +59,10 @@ PROPERTIES: dict[str, dict[str, tuple]] = {
 SOURCE_OF = {"fill": ("vector",), "fill-extrusion": ("vector",), "line": ("vector", "geojson"), "symbol": ("vector",), "raster": ("raster",), "hillshade": ("raster-dem",), "background": ()}
 
 
+#: Properties of extrusions that flat drawing has no use for.
+FLAT = ("fill-extrusion-base", "fill-extrusion-height")
+
+
 @dataclass
 class Layer:
     id: str
@@ -72,16 +77,22 @@ class Layer:
     nodes: dict[str, Node]
 
     def project(self, features: DataFrame, images: list[str] | None = None) -> DataFrame:
-        """Rows of this layer with a column for each property; an invalid value is an error there."""
+        """The rows of this layer's source (``source_id``) and source layer with a column for each property; an invalid
+        value is an error there. Heights of extrusions are not evaluated: they are drawn flat."""
         ctx = Context(images=(lambda name: name.isin(images or [])) if self.kind == "symbol" else (lambda name: F.lit(False)))
         kept = features.filter((F.col("z") >= self.min_zoom) & (F.col("z") < self.max_zoom))
         if self.kind != "background":
+            kept = kept.filter(F.col("source_id") == self.source)
             kept = kept.filter(F.col("layer") == self.source_layer) if self.source_layer else kept
             kind = {"fill": "Polygon", "fill-extrusion": "Polygon", "line": "LineString"}.get(self.kind)
             kept = kept.filter(F.col("geom_type") == kind) if kind else kept
             kept = kept.filter(compile_filter(self.filter)(ctx))
         names = PROPERTIES[self.kind]
-        return kept.withColumns({k.replace("-", "_"): guarded(self.nodes[k], ctx, k, names[k][0], names[k][2]) for k in self.nodes}).withColumn("layer_order", F.lit(self.order))
+        out = kept.withColumns({k.replace("-", "_"): guarded(self.nodes[k], ctx, k, names[k][0], names[k][2]) for k in self.nodes if k not in FLAT}).withColumn("layer_order", F.lit(self.order))
+        if self.kind == "raster":
+            low, high = F.col("raster_brightness_min"), F.col("raster_brightness_max")
+            out = out.withColumn("raster_brightness_max", F.when(low <= high, high).otherwise(F.raise_error(F.lit("raster-brightness-min is above raster-brightness-max")).cast("double")))
+        return out
 
 
 @dataclass
@@ -93,6 +104,7 @@ class Prepared:
     labels: list[dict] = field(default_factory=list)
     terrain: dict | None = None
     ground: tuple[float, float, float] | None = None
+    owner: object = field(default=None, compare=False, repr=False)
 
     def tables(self, spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
         """The layers, sources and diagnostics as rows."""
@@ -105,10 +117,28 @@ class Prepared:
         )
 
 
+COLOR = "struct<r:int,g:int,b:int,a:int>"
+
+
+def css_colors():
+    """Colours of texts (all channels null where a text is none); each distinct text of a batch is parsed once."""
+
+    @F.pandas_udf(COLOR)
+    def parsed(texts: pd.Series) -> pd.DataFrame:
+        known = {t: color.parse(t) for t in texts.dropna().unique()}
+        return pd.DataFrame([known.get(t) or (None,) * 4 for t in texts], columns=list("rgba"), dtype="Int32")
+
+    return parsed
+
+
 def guarded(node: Node, ctx: Context, name: str, kind: Any, rule: str | None):
     """The value, or an error where it is none or outside its rule."""
     if kind is C:
-        return node.make(ctx)
+        none = F.raise_error(F.lit(f"{name} is no colour")).cast(COLOR)
+        if node.kind is Kind.VALUE:  # text from a feature
+            found = css_colors()(node.read(ctx, S))
+            return F.when(found["r"].isNotNull(), found).otherwise(none)
+        return F.coalesce(node.make(ctx), none) if node.kind is C else none
     if kind is A:
         c = node.make(ctx)
         ok = {PAIR: F.size(c) == 2, "dash": (F.size(c) >= 2) & F.forall(c, lambda v: v >= 0) & (F.aggregate(c, F.lit(0.0), lambda a, v: a + v) > 0)}.get(rule, F.lit(True))
@@ -280,8 +310,16 @@ def _terrain(document: dict, base: str, tilejson: dict) -> dict | None:
     return compile_source(source, base, tilejson) | {"source_id": t["source"]}
 
 
-#: Fixed values of the ground light.
-GAMMA, LUMINANCE, REDUCTION, VERTICAL_LEAST = 2.2, (0.2126, 0.7152, 0.0722), 0.3, 0.92
+#: Fixed values of the ground light: gamma, luminance of the channels, share of the ambient light that a light from below takes.
+GAMMA, LUMINANCE, REDUCTION = 2.2, (0.2126, 0.7152, 0.0722), 0.3
+
+
+def lit_ground(ambient: list, direct: list, down, power, least) -> list:
+    """Channels of flat ground's light from linear ambient and directional channels; ``down`` is the cosine of the
+    directional light's angle to the vertical. Numbers or Columns, with their ``power`` and ``least``."""
+    brightness = least(sum(w * v for w, v in zip(LUMINANCE, direct, strict=True)), 1.0)
+    kept = 1 - REDUCTION * brightness * (1 - least(down + 1, 1.0))  # ambient light gives way to light from below
+    return [power(a * kept + d * down, 1 / GAMMA) for a, d in zip(ambient, direct, strict=True)]
 
 
 def ground_radiance(document: dict) -> tuple[float, float, float] | None:
@@ -307,9 +345,5 @@ def ground_radiance(document: dict) -> tuple[float, float, float] | None:
     direction = found["directional"][0].get("direction", [210, 30])
     if not isinstance(direction, list) or len(direction) != 2 or not all(isinstance(v, int | float) for v in direction):
         raise StyleError("direction must be two numbers")
-    down = math.cos(math.radians(direction[1]))
-    least = 1 - REDUCTION * min(sum(w * v for w, v in zip(LUMINANCE, direct, strict=True)), 1.0)
-    around = least + (1 - least) * min(down + 1.0, 1.0)
-    ambient_part = (VERTICAL_LEAST + (1 - VERTICAL_LEAST) * (math.asin(1.0) / math.pi + 0.5)) * around
-    r, g, b = ((a * ambient_part + d * down) ** (1 / GAMMA) for a, d in zip(ambient, direct, strict=True))
+    r, g, b = lit_ground(ambient, direct, math.cos(math.radians(direction[1])), pow, min)
     return r, g, b

@@ -10,28 +10,41 @@ from quadloom.streaming import recovery
 from quadloom.types import DecodeError, EngineError, Limits
 
 LAYERS = [
-    {"name": "transportation", "features": [
-        {"id": 7, "geom_type": "Point", "props": {"class": "primary", "double": 2.5, "int": -3, "bool": True}, "parts": [[(1, 2), (4, 6)]]},
-        {"geom_type": "LineString", "props": {}, "parts": [[(1, 1), (5, 1), (5, 5)]]},
-        {"geom_type": "Polygon", "props": {}, "parts": [[(1, 1), (11, 1), (11, 11), (1, 11)]]},
+    {"name": "boats", "extent": 1024, "features": []},
+    {"name": "shore", "features": [
+        {"geom_type": "LineString", "props": {"name": "mole", "lamps": 12}, "parts": [[(0, 900), (300, 870), (320, 40)], [(5, 5), (6, 9)]]},
+        {"id": 31, "geom_type": "Polygon", "props": {"depth": -7, "dredged": False, "area": 0.125}, "parts": [[(100, 100), (160, 100), (160, 140), (100, 140)]]},
+        {"id": 32, "geom_type": "Point", "props": {"name": "mole"}, "parts": [[(77, 8)]]},
     ]},
-    {"name": "poi", "extent": 512, "features": []},
 ]
 
 
 def test_mvt(spark):
     data = mvt.encode(LAYERS)
     layers = mvt.decode(data)
-    assert [(x["name"], x["extent"]) for x in layers] == [("transportation", 4096), ("poi", 512)]
-    point, line, area = layers[0]["features"]
-    assert point["id"] == 7 and point["parts"] == [[(1, 2), (4, 6)]] and point["props"]["int"] == (2, None, -3.0, None)
-    assert line["parts"] == [[(1, 1), (5, 1), (5, 5)]] and area["ring_area2"] == [200.0]
+    assert [(x["name"], x["extent"], len(x["features"])) for x in layers] == [("boats", 1024, 0), ("shore", 4096, 3)]
+    mole, basin, buoy = layers[1]["features"]
+    assert mole["parts"] == [[(0, 900), (300, 870), (320, 40)], [(5, 5), (6, 9)]] and mole["props"]["lamps"] == (2, None, 12.0, None)
+    assert basin["id"] == 31 and basin["ring_area2"] == [2 * 60 * 40.0] and {k: basin["props"][k] for k in ("depth", "dredged", "area")} == {"depth": (2, None, -7.0, None), "dredged": (1, False, None, None), "area": (2, None, 0.125, None)}
+    assert buoy["parts"] == [[(77, 8)]] and buoy["props"]["name"][3] == "mole"
     mvt.register(spark)
     df = spark.createDataFrame([("s", 1, 0, 0, bytearray(data))], "source_id string, z int, x int, y int, data binary")
     df.createOrReplaceTempView("raw_tiles")
-    rows = spark.sql("SELECT f.layer, f.ord, f.geom_type, f.props['class'].s AS class FROM raw_tiles, LATERAL mvt_decode(data) f ORDER BY f.ord").collect()
-    assert [(r.ord, r.geom_type) for r in rows] == [(0, "Point"), (1, "LineString"), (2, "Polygon")] and rows[0]["class"] == "primary"
-    assert mvt.decode_tiles(df, ["transportation"]).count() == 3 and mvt.decode_tiles(df, ["poi"]).count() == 0
+    rows = spark.sql("SELECT f.layer, f.ord, f.geom_type, f.props['name'].s AS name FROM raw_tiles, LATERAL mvt_decode(data) f ORDER BY f.ord").collect()
+    assert [(r.ord, r.geom_type, r.name) for r in rows] == [(0, "LineString", "mole"), (1, "Polygon", None), (2, "Point", "mole")]
+    assert mvt.decode_tiles(df, ["shore"]).count() == 3 and mvt.decode_tiles(df, ["boats"]).count() == 0
+
+
+def test_store_opens_again(spark, tmp_path):
+    rows = lambda n: spark.createDataFrame([(f"id{i}", "VECTOR_TILE", bytearray(b"x%d" % i), None) for i in range(n)], "stable_id string, class string, bytes binary, content_type string")
+    first = store.RawStore(spark, str(tmp_path))
+    first.write(rows(1))
+    first.write(rows(3))
+    (tmp_path / "v99999999999999999999-torn").mkdir()  # a version that was not written whole
+    again = store.RawStore(spark, str(tmp_path))
+    assert again.valid().count() == 3 and store.RawStore(spark, str(tmp_path / "none")).valid().count() == 0
+    again.remove(rows(2))
+    assert [r.stable_id for r in store.RawStore(spark, str(tmp_path)).read().collect()] == ["id2"]
 
 
 @pytest.mark.parametrize("layer", [
