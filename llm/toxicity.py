@@ -49,6 +49,7 @@ import pyarrow as pa
 import zstandard as zs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from llm.common import bounded, hash_sample, held_out, parts_of, released, table
 
@@ -301,8 +302,8 @@ def trained(toxic: list[list[str]], ordinary: list[list[str]]) -> Distance:
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Distance:
-    """From the labelled documents that are not held out. Passages of the sample reach the driver, which trains the
-    dictionaries; the calibration counts its texts' features where they are."""
+    """From the labelled documents that are not held out. Passages of the sample meet in one task, which trains the
+    dictionaries; these and the ids set aside reach the driver. The calibration counts its texts' features where they are."""
     bounded(docs.sparkSession)
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     all_toxic, all_ordinary = known.agg(F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") == 0)).first()
@@ -318,21 +319,28 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Distance:
             texts = [" ".join(w for p in passages(words(t), READ) for w in p) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array(texts, pa.string())], ["doc_id", "toxic", "text"])
 
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, texts, same = ([], []), ([], []), {}
+        for b in parts_of(batches, 1000):
+            for i, label, t in zip(b.column("doc_id").to_pylist(), b.column("toxic").to_pylist(), b.column("text").to_pylist(), strict=True):
+                ids[label].append(i)
+                texts[label].append([same.setdefault(w, w) for w in t.split(" ")] if t else [])
+        kept = []
+        for label in (0, 1):
+            apart = unlike(texts[label])
+            cut = -(-len(apart) * 2 // 3)
+            kept += [ids[label][i] for i in apart[cut:] or apart]
+            texts[label][:] = [texts[label][i] for i in apart[:cut]]
+        made = trained(texts[1], texts[0])
+        yield pa.RecordBatch.from_arrays([pa.array([made.ordinary], pa.binary()), pa.array([made.toxic], pa.binary()), pa.array([kept], pa.list_(kind))], ["ordinary", "toxic", "kept"])
+
     order = F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")
     kinds = dict(rows.dtypes)
-    got = rows.mapInArrow(read, f"doc_id {kinds['doc_id']}, toxic {kinds['toxic']}, text string").orderBy(*order).collect()
-    learned: list[list[list[str]]] = [[], []]
-    kept: list[int] = []
-    for label in (0, 1):
-        own = [r for r in got if r.toxic == label]
-        texts = [r.text.split(" ") if r.text else [] for r in own]
-        apart = unlike(texts)
-        cut = -(-len(apart) * 2 // 3)
-        learned[label] = [texts[i] for i in apart[:cut]]
-        kept += [own[i].doc_id for i in apart[cut:] or apart]
-        del texts, own
-    del got
-    model = trained(learned[1], learned[0])
+    kind = to_arrow_type(rows.schema["doc_id"].dataType)
+    got = rows.mapInArrow(read, f"doc_id {kinds['doc_id']}, toxic {kinds['toxic']}, text string").repartition(1).sortWithinPartitions(*order)
+    made = got.mapInArrow(lambda batches: released(train(batches)), f"ordinary binary, toxic binary, kept array<{kinds['doc_id']}>").collect()
+    model = Distance(bytes(made[0].ordinary), bytes(made[0].toxic)) if made else Distance(b"", b"")
+    kept = made[0].kept if made else []
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts_of(batches, 1000):

@@ -1,6 +1,7 @@
 """Each operator against brute force, a round trip or held-out labels, and on awkward rows."""
 
 import hashlib
+import os
 import random
 import re
 import wave
@@ -397,6 +398,24 @@ def test_labels_that_repeat_or_are_null(spark):
     assert toxicity.learn(docs, plain.filter("toxic = 0")).score("slimebag") == 0
 
 
+def test_toxic_dictionaries_are_trained_in_a_task(spark, monkeypatch):
+    """The driver gets the dictionaries, not the sample's texts: it trains nothing itself."""
+    r = random.Random(5)
+    docs = spark.createDataFrame([(i, said(r, "slimebag" if i < 80 else "friend")) for i in range(300)], "doc_id int, text string")
+    labels = spark.createDataFrame([(i, int(i < 80)) for i in range(300)], "doc_id int, toxic int")
+
+    driver, own = os.getpid(), toxicity.trained
+
+    def elsewhere(*words):
+        assert os.getpid() != driver
+        return own(*words)
+
+    monkeypatch.setattr(toxicity, "trained", elsewhere)
+    model = toxicity.learn(docs, labels)
+    assert model.score("such a slimebag") > 0.3 > model.score("such a friend")
+    assert toxicity.learn(docs.filter("doc_id < 0"), labels).score("slimebag") < 0.3
+
+
 # ---- chats
 
 
