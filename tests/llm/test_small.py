@@ -644,6 +644,23 @@ def test_topk_blocks(spark):
     assert sorted(len(r.ids) // 8 for r in topk.packed(wide, topk.QUERY_BLOCK).collect()) == [1, 2, 2, 2, 2]
 
 
+def test_topk_broadcasts_nothing(spark, monkeypatch):
+    """A broadcast takes the query blocks through the driver, as often as there are partitions. Narrow numbers and cells give the same scores."""
+    r = random.Random(11)
+    df = spark.createDataFrame([(i, [r.uniform(-1, 1) * (3000 if i % 7 == 0 else 1) for _ in range(5)]) for i in range(400)], "vec_id long, embedding array<float>").repartition(3)
+    plans, own = [], topk.stored
+    monkeypatch.setattr(topk, "stored", lambda x, label: plans.append(x._jdf.queryExecution().executedPlan().toString()) or own(x, label))
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 32)
+    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 16)
+    for every in (1, 20):
+        got = sorted(tuple(x) for x in topk.top_k(df, 3, every).select("query_id", "rank", "vec_id", "score").collect())
+        v = {x.vec_id: np.floor(1024 * np.array(x.embedding)).astype(np.int64) for x in df.collect()}
+        want = [(q, n + 1, i, -s) for q in v if q % every == 0 for n, (s, i) in enumerate(sorted((-int(v[q] @ v[i]), i) for i in v if i != q)[:3])]
+        assert got == sorted(want)
+    assert "Join" in plans[-1] and not any("Broadcast" in p for p in plans)
+    assert topk.grid(600, 100, 1) == (300, 2) and topk.grid(100, 7, 7) == (10, 10) and topk.grid(12, 0, 0) == (12, 1)
+
+
 def test_topk_sql_tells_repeated_ids_apart(spark, tmp_path):
     rows = [(0, [1.0, 2.0]), (0, [3.0, -1.0]), (100, [0.5, 0.5]), (100, [0.5, 0.5]), (7, [1.0]), (None, [9.0])]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
