@@ -5,13 +5,18 @@ in each bucket, the count of leading zeros and ``MANTISSA`` bits after them. Equ
 on. For banding, empty buckets borrow the register of a bucket in use, by a sequence of their own, so that two
 registers agree with the probability of the similarity whatever the size of the sets. ``ROWS`` registers make a
 band, and texts that share a band are candidates; at a similarity of 0.85, all 64 bands miss a pair with a
-probability of about 1e-9; at 0.3 and less, a pair is a candidate with one of 0.004 and less. Candidates form clusters, whose texts meet
+probability of about 1e-9; at 0.3 and less, a pair is a candidate with one of 0.004 and less.
+
+Texts that share bands by chance would chain into clusters that grow with the square of the input and more, so candidates are judged by their
+registers before they form clusters: each text is compared with the smallest id of each of its bands, and where one is
+not near that, all texts of the band are compared among themselves, in tiles of bounded size. *Near* is an estimate
+within six standard deviations of the threshold or above, so no link is lost. Near texts form clusters, whose texts meet
 in tiles of bounded size. In a tile, the Jaccard similarity is first estimated from the registers, corrected
 for registers that agree by accident, and pairs within six standard deviations of the threshold or above are
 verified on the full sets. A pair is skipped only where its texts are linked through others already, so the
 groups are those of all links.
 
-Band values are dealt out as packed arrays, each map task sending a value once, with its smallest id; a
+Band values are dealt out as packed arrays; a
 cluster too large for one tile is split into blocks, and every two blocks meet in a tile of their own.
 
 Defined results: null texts and texts without words have no shingles and are linked with nothing; shorter
@@ -108,6 +113,29 @@ def estimates(one: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return (agree / used - ACCIDENT) / (1 - ACCIDENT), used
 
 
+def near(one: np.ndarray, many: np.ndarray, percent: int) -> np.ndarray:
+    """Which of the sketches may be linked with one: estimates within six standard deviations of the threshold, or above."""
+    guess, used = estimates(one, many)
+    return guess >= percent / 100 - 6 * np.sqrt(percent / 100 * (1 - percent / 100) / used)
+
+
+def near_forest(ids: list[int], registers: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Pairs that connect what all near pairs among the sketches connect."""
+    out, group, done = [], np.arange(len(ids)), np.zeros(len(ids), bool)
+    x = 0
+    while True:
+        done[x] = True
+        found = np.flatnonzero(near(registers[x], registers, percent) & (group != group[x]))
+        for g in np.unique(group[found]):
+            y = int(found[group[found] == g][0])
+            out.append((ids[x], ids[y]))
+            group[group == g] = group[x]
+        left = np.flatnonzero(~done & (group != np.bincount(group).argmax()))
+        if not len(left):
+            return out
+        x = int(left[0])
+
+
 def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     small, large = (a, b) if len(a) < len(b) else (b, a)
     at = np.searchsorted(large, small)
@@ -138,10 +166,9 @@ def forest(ids: list[int], sets: list[np.ndarray], percent: int = PERCENT) -> li
     x = int(max(some, key=lambda k: (estimates(registers[k], registers)[0] >= percent / 100).sum())) if m > 2 else 0
     while True:
         done[x] = True
-        guess, used = estimates(registers[x], registers)
-        near = guess >= percent / 100 - 6 * np.sqrt(percent / 100 * (1 - percent / 100) / used)
+        close = near(registers[x], registers, percent)
         fits = 100 * np.minimum(sizes, sizes[x]) >= percent * np.maximum(sizes, sizes[x])
-        for y in np.flatnonzero(near & fits & (group != group[x])):
+        for y in np.flatnonzero(close & fits & (group != group[x])):
             if group[y] != group[x] and linked(sets[x], sets[y], percent):
                 out.append((ids[x], ids[y]))
                 group[group == group[y]] = group[x]
@@ -161,39 +188,31 @@ def sketched(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                 k = np.arange(1, len(s) + 1, dtype=np.uint64)
                 sizes.append(len(s))
                 names.append(np.array([s.sum(), mixed(s + k).sum()], np.uint64).tobytes() if len(s) else None)
-                values.append(bands(sketch(s)).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.array(values, pa.binary())], ["doc_id", "n_shingles", "set_name", "bands"])
+                values.append(sketch(s).tobytes() if len(s) else None)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.array(values, pa.binary())], ["doc_id", "n_shingles", "set_name", "registers"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    return rows.mapInArrow(lambda batches: released(made(batches)), "doc_id long, n_shingles long, set_name binary, bands binary")
+    return rows.mapInArrow(lambda batches: released(made(batches)), "doc_id long, n_shingles long, set_name binary, registers binary")
 
 
 def candidates(reps: DataFrame) -> DataFrame:
-    """Edges (a, b) from each text to the smallest id of each of its bands."""
+    """The texts that share a band, as sorted arrays of distinct ids (members), each array once."""
     n = shuffle_partitions(reps.sparkSession)
     ranges = 4 * n
 
-    def stars(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        order = np.lexsort((ids, keys))
-        keys, ids = keys[order], ids[order]
-        new = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, bool)
-        leader = ids[new][np.cumsum(new) - 1] if len(keys) else ids
-        pairs = np.unique(np.stack([ids, leader], axis=1)[ids != leader], axis=0)
-        return keys[new], ids[new], pairs[:, 0], pairs[:, 1]
-
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def sent(keys: list[np.ndarray], ids: list[np.ndarray]) -> pa.RecordBatch:
-            k, i, a, b = stars(np.concatenate(keys), np.concatenate(ids))
+            k, i = np.concatenate(keys), np.concatenate(ids)
+            order = np.argsort(k)
+            k, i = k[order], i[order]
             at = np.concatenate([[0], np.searchsorted(k, np.array([(r << 64) // ranges for r in range(1, ranges)], np.uint64)), [len(k)]])
             rows = [(r, k[at[r] : at[r + 1]].tobytes(), i[at[r] : at[r + 1]].tobytes()) for r in range(ranges) if at[r + 1] > at[r]]
-            if len(a):  # pairs found here pass through, each task's to one range
-                rows.append((-1 - int(a[0] % ranges), a.tobytes(), b.tobytes()))
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["r", "k", "i"])
 
         keys, ids, size = [], [], 0
         for b in batches:
-            for rep, data in zip(b.column("rep").to_pylist(), b.column("bands").to_pylist(), strict=True):
-                keys.append(np.frombuffer(data, np.uint64))
+            for rep, data in zip(b.column("rep").to_pylist(), b.column("registers").to_pylist(), strict=True):
+                keys.append(bands(np.frombuffer(data, np.uint16)))
                 ids.append(np.full(len(keys[-1]), rep, np.int64))
                 size += len(keys[-1])
                 if size > 1 << 21:
@@ -203,26 +222,89 @@ def candidates(reps: DataFrame) -> DataFrame:
             yield sent(keys, ids)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(held: list[dict]) -> pa.RecordBatch:
-            k, i = b"".join(x["k"] for x in held), b"".join(x["i"] for x in held)
-            if held[0]["r"] < 0:
-                a, b = np.frombuffer(k, np.int64), np.frombuffer(i, np.int64)
-            else:
-                _, _, a, b = stars(np.frombuffer(k, np.uint64), np.frombuffer(i, np.int64))
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        def groups(held: list[dict]) -> Iterator[pa.RecordBatch]:
+            k, i = np.frombuffer(b"".join(x["k"] for x in held), np.uint64), np.frombuffer(b"".join(x["i"] for x in held), np.int64)
+            order = np.lexsort((i, k))
+            k, i = k[order], i[order]
+            new = np.concatenate([[True], (k[1:] != k[:-1]) | (i[1:] != i[:-1])])  # rows of one id may share a band
+            k, i = k[new], i[new]
+            at = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1], [True]]))
+            found = list({i[at[j] : at[j + 1]].tobytes() for j in np.flatnonzero(np.diff(at) > 1)})
+            for j in range(0, len(found), 1000):
+                yield pa.RecordBatch.from_arrays([pa.array(found[j : j + 1000], pa.binary())], ["members"])
 
         held: list[dict] = []
         for b in batches:
             for x in b.to_pylist():
                 if held and held[0]["r"] != x["r"]:
-                    yield pairs(held)
+                    yield from groups(held)
                     held = []
                 held.append(x)
         if held:
-            yield pairs(held)
+            yield from groups(held)
+
+    dealt = reps.select("rep", "registers").mapInArrow(lambda batches: released(deal(batches)), "r int, k binary, i binary").repartition(n, "r").sortWithinPartitions("r")
+    return dealt.mapInArrow(lambda batches: released(meet(batches)), "members binary").distinct()
+
+
+def judged(reps: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) that connect what all near pairs within the groups connect."""
+    sketches = reps.select("rep", "registers")
+
+    def ends(least: int, name: bool = False):
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for m in b.column("members").to_pylist():
+                    ids = np.frombuffer(m, np.int64)
+                    for at in range(1, len(ids) if len(ids) >= least else 0, 100_000):
+                        own = ids[at : at + 100_000]
+                        columns = [pa.array(own), pa.array(np.full(len(own), ids[0]))]
+                        if name:
+                            columns += [pa.array([xxhash.xxh3_128_digest(m)] * len(own), pa.binary()), pa.array(np.full(len(own), len(ids)))]
+                        yield pa.RecordBatch.from_arrays(columns, ["a", "b", "cluster", "size"][: len(columns)])
+
+        return each
+
+    pairs = groups.mapInArrow(ends(2), "a long, b long").distinct()
+    one = pairs.join(sketches.hint("merge").withColumnRenamed("rep", "a"), "a").withColumnRenamed("registers", "one")
+    both = one.join(sketches.hint("merge").withColumnRenamed("rep", "b"), "b").select("a", "b", "one", "registers")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            one, two = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint16).reshape(-1, BUCKETS) for c in ("one", "registers"))
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(near(one, two, percent), pa.bool_())], ["a", "b", "near"])
+
+    told = stored(both.mapInArrow(lambda batches: released(compare(batches)), "a long, b long, near boolean").groupBy("a", "b").agg(F.max("near").alias("near")), "judged")
+    # a text that is not near the smallest id of a band may be near others of that band
+    members = groups.mapInArrow(ends(3, True), "a long, b long, cluster binary, size long")
+    far = members.join(told.filter("NOT near").hint("merge"), ["a", "b"]).select("cluster").distinct()
+    inside = stored(members.join(far.hint("merge"), "cluster", "left_semi"), "bands")  # without its smallest id, which all were compared with; where that is near some, it links them
+    blocks = F.ceil(F.col("size") / TILE_TEXTS).cast("int")
+    own = F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int")
+    rows = inside.select("a", "cluster", blocks.alias("blocks")).join(sketches.hint("merge").withColumnRenamed("rep", "a"), "a").withColumn("own", own)
+    tiles = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("a").alias("rep"), "registers")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def links(held: list[tuple[int, bytes]]) -> pa.RecordBatch:
+            found = near_forest([h[0] for h in held], np.frombuffer(b"".join(h[1] for h in held), np.uint16).reshape(-1, BUCKETS), percent) if len(held) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
+
+        tile, held = None, []
+        for b in batches:
+            for x in b.to_pylist():
+                if (at := (x["cluster"], x["i"], x["j"])) != tile:
+                    if held:
+                        yield links(held)
+                    tile, held = at, []
+                held.append((x["rep"], x["registers"]))
+        if held:
+            yield links(held)
 
-    dealt = reps.select("rep", "bands").mapInArrow(lambda batches: released(deal(batches)), "r int, k binary, i binary").repartition(n, "r").sortWithinPartitions("r")
-    return dealt.mapInArrow(lambda batches: released(meet(batches)), "a long, b long")
+    met = tiles.repartition(shuffle_partitions(reps.sparkSession), "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(lambda batches: released(check(batches)), "a long, b long")
+    out = stored(told.filter("near").select("a", "b").unionByName(met).distinct(), "near")
+    for x in (told, inside):
+        dropped(x)
+    return out
 
 
 def verified(docs: DataFrame, clusters: DataFrame, doc_id: str, text: str, percent: int) -> DataFrame:
@@ -260,9 +342,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     with arrow_batches(spark):
         all_sets = stored(sketched(docs, doc_id, text), "sketches")
         named = all_sets.filter("set_name IS NOT NULL AND doc_id IS NOT NULL")
-        reps = stored(named.groupBy("set_name").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.max("n_shingles").alias("n_shingles")), "texts")
+        reps = stored(named.groupBy("set_name").agg(F.min("doc_id").alias("rep"), F.first("registers").alias("registers"), F.max("n_shingles").alias("n_shingles")), "texts")
+        swept(spark)
+        groups = stored(candidates(reps), "groups")
+        swept(spark)
+        edges = judged(reps, groups, percent)
         swept(spark)
-        grouped = components(candidates(reps), "a", "b")
+        grouped = components(edges, "a", "b")
         swept(spark)
         # every set of an id's rows joins the id's cluster; a cluster's label is a member too
         inside = grouped.select(F.col("node").alias("rep"), F.col("label").alias("cluster")).unionByName(grouped.select(F.col("label").alias("rep"), F.col("label").alias("cluster"))).distinct()
@@ -276,7 +362,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         out = all_sets.select("doc_id", "n_shingles").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
         component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("label", "doc_id"))
         out = stored(out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "neardup")
-        for x in (all_sets, reps, clusters, links):
+        for x in (all_sets, reps, groups, edges, clusters, links):
             dropped(x)
         swept(spark)
         return out

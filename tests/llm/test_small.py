@@ -211,6 +211,26 @@ def test_words_that_a_polynomial_takes_for_one(spark):
     assert got == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5}
 
 
+@pytest.mark.parametrize("tile", [2, 2048])
+def test_bands_shared_by_chance_make_no_clusters(spark, monkeypatch, tile):
+    """A chain of texts, each half like the next, shares bands but no link; links hidden behind a smaller id of a band stay."""
+    monkeypatch.setattr(neardup, "TILE_TEXTS", tile)
+    monkeypatch.setattr(neardup, "bands", lambda registers: np.array([1, 2], np.uint64))  # all share all bands
+    r = random.Random(12)
+    words = [f"w{i}" for i in range(5000)]
+    rows, text = [], [r.choice(words) for _ in range(400)]
+    for i in range(12):
+        text = text[200:] + [r.choice(words) for _ in range(200)]
+        rows.append((i, " ".join(text)))
+    rows += [(100 + i, f"{t} more") for i, t in rows[5:8]] + [(200 + i, f"{t} again") for i, t in rows[5:6]]
+    seen = []
+    own = neardup.verified
+    monkeypatch.setattr(neardup, "verified", lambda docs, clusters, *rest: seen.extend(clusters.collect()) or own(docs, clusters, *rest))
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_groups(rows)
+    assert {x.rep: x.cluster for x in seen} == {5: 5, 105: 5, 205: 5, 6: 6, 106: 6, 7: 7, 107: 7}
+
+
 def test_sketch_estimates():
     r = np.random.default_rng(1)
     a = np.unique(r.integers(0, 2**63, 5000, dtype=np.uint64) * np.uint64(2))
