@@ -687,3 +687,10 @@ def test_topk_sql_tells_repeated_ids_apart(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
     assert sorted(con.execute(topk.SQL).fetchall()) == sorted(tuple(r) for r in topk.op10_exact_topk(spark, str(tmp_path)).collect())
+
+
+def test_passages_of_the_longest_training_texts(spark):
+    """19 x the length passed 32 bits from 113 million characters on, an error; usual lengths begin where they did."""
+    rows = spark.createDataFrame([(n,) for n in (20_001, 123_457, 200_000_000, 2_000_000_000)], "n int")
+    got = {r[0]: r[1] for r in rows.select("n", language.evenly(rows.n, 1000)).collect()}
+    assert got == {n: [int(i * (n - 1000) / 19) + 1 for i in range(20)] for n in got}
